@@ -4,16 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import fingerprint
+from recordlake.llm import embeddings, fingerprint
 from recordlake.llm.common import table
 
 
+def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_embedding_links": op2_embedding_links,
     "op10_fingerprint": op10_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_COSINE = "list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_links": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND e IS NOT NULL
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE {_COSINE} >= 0.93),
+reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, m AS component_id, v.vec_id = m AS kept
+FROM v JOIN (SELECT vec_id, min(r) AS m FROM reach GROUP BY 1) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1) USING (vec_id)""",
+}
