@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import embeddings, fingerprint
+from recordlake.llm import embeddings, fingerprint, toxicity
 from recordlake.llm.common import table
 
 
@@ -12,12 +12,17 @@ def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_embedding_links": op2_embedding_links,
+    "op9_toxicity": op9_toxicity,
     "op10_fingerprint": op10_fingerprint,
 }
 
