@@ -59,3 +59,10 @@ def block_count(df: DataFrame, text: str = "text", block_bytes: int = 12_000_000
 def block_of(col: Column, blocks: int) -> Column:
     """A block number that depends on the value alone, so a lost task computes the same one."""
     return F.pmod(F.xxhash64(col), F.lit(blocks)).cast("int")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabulary file is; every operator takes a path of its own as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

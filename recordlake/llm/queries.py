@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import embeddings, fingerprint, toxicity
-from recordlake.llm.common import table
+from recordlake.llm import embeddings, fingerprint, packing, toxicity
+from recordlake.llm.common import table, tokenizer_path
 
 
 def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,6 +26,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_embedding_links": op2_embedding_links,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprint": op10_fingerprint,
 }
