@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import embeddings, fingerprint, packing, toxicity
+from recordlake.llm import embeddings, fingerprint, lm, packing, toxicity
 from recordlake.llm.common import table, tokenizer_path
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score_texts(docs, toxicity.held_out("doc_id", 1))
+
+
 def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_links(table(spark, sf_dir, "embeddings"))
 
@@ -25,6 +30,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_embedding_links": op2_embedding_links,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
