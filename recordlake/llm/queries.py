@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import embeddings, fingerprint, lm, packing, toxicity
+from recordlake.llm import embeddings, fingerprint, lm, packing, suffixes, toxicity
 from recordlake.llm.common import table, tokenizer_path
 
 
@@ -17,6 +17,10 @@ def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -32,6 +36,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_embedding_links": op2_embedding_links,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprint": op10_fingerprint,
@@ -54,4 +59,19 @@ reach(vec_id, r) AS (
 SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, m AS component_id, v.vec_id = m AS kept
 FROM v JOIN (SELECT vec_id, min(r) AS m FROM reach GROUP BY 1) USING (vec_id)
 LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1) USING (vec_id)""",
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS p FROM w JOIN m USING (s) WHERE m.low < w.doc_id),
+run AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+span AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY ALL),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM span),
+parts AS (SELECT gap.doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS last,
+                 string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS pre
+          FROM gap JOIN d USING (doc_id) GROUP BY gap.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE pre || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN parts USING (doc_id)""",
 }
