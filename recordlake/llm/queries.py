@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import embeddings, fingerprint, lm, packing, suffixes, toxicity
+from recordlake.llm import embeddings, fingerprint, lm, minhash, packing, suffixes, toxicity
 from recordlake.llm.common import table, tokenizer_path
 
 
@@ -17,6 +17,10 @@ def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_embedding_links": op2_embedding_links,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
