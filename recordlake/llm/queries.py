@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import embeddings, fingerprint, lm, minhash, packing, suffixes, toxicity
+from recordlake.llm import embeddings, fingerprint, lm, minhash, packing, pii, suffixes, toxicity
 from recordlake.llm.common import table, tokenizer_path
 
 
@@ -25,6 +25,15 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+#: in production the key is a secret of the deployment
+PII_KEY = b"recordlake surrogates"
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.surrogate_texts(docs, PII_KEY)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -42,6 +51,7 @@ QUERIES = {
     "op2_embedding_links": op2_embedding_links,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprint": op10_fingerprint,
