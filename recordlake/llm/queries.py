@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlake.llm import embeddings, fingerprint, lm, minhash, packing, pii, suffixes, toxicity
+from recordlake.llm import embeddings, fingerprint, lm, minhash, packing, pii, sentencepieces, suffixes, tokencount, toxicity
 from recordlake.llm.common import table, tokenizer_path
 
 
@@ -25,6 +25,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), give_ids=False)
+
+
 #: in production the key is a secret of the deployment
 PII_KEY = b"recordlake surrogates"
 
@@ -51,6 +59,8 @@ QUERIES = {
     "op2_embedding_links": op2_embedding_links,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
