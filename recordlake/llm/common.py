@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -51,9 +55,30 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def block_count(df: DataFrame, text: str = "text", block_bytes: int = 12_000_000) -> int:
-    """Blocks of about ``block_bytes`` bytes of text each; at least one."""
+    """Blocks of about ``block_bytes`` bytes of text each, or of a quarter if that keeps more tasks busy; at least one."""
     total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return max(1, -(-total // block_bytes))
+    return max(1, -(-total // block_bytes), min(parallelism(df.sparkSession), 4 * total // block_bytes))
+
+
+def appended(df: DataFrame, text: str, make: Callable[[], Callable[[list], list[list]]], kind: str, replace: bool = False, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with columns (``kind``) that ``make()`` computes from the values of ``text`` (and of ``drop``, which go).
+
+    Other columns pass as Arrow arrays, unread. With ``replace`` the first computed column takes the place of ``text``.
+    """
+    kept = [f for f in df.schema if f.name not in drop]
+    new = list(StructType.fromDDL(kind))
+    out = [new[0] if replace and f.name == text else f for f in kept] + new[replace:]
+    types = [to_arrow_type(f.dataType) for f in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            values = [batch.column(c).to_pylist() for c in (text, *drop)]
+            made = [pa.array(v, t) for v, t in zip(compute(*values), types, strict=True)]
+            arrays = [made[0] if replace and f.name == text else batch.column(f.name) for f in kept] + made[replace:]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out])
+
+    return df.mapInArrow(run, StructType(out))
 
 
 def block_of(col: Column, blocks: int) -> Column:

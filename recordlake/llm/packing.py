@@ -16,14 +16,12 @@ packed as often as they come; a null id is kept; extra columns are dropped; an e
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordlake.llm.common import written
+from recordlake.llm.common import appended, written
 from recordlake.llm.wordpieces import WordEncoder
 
 
@@ -108,21 +106,18 @@ def best_fit_decreasing(counts: dict[int, int], window: int) -> tuple[list[Place
 
 def tokenized(docs: DataFrame, path: str, end_id: int, window: int, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, ``doc_tokens`` and one ``crc`` for each cut of ``window`` tokens, in order."""
-    taken = docs.select(*keep, F.col(text).alias("__text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     end = end_id.to_bytes(4, "little")
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         encoder = WordEncoder(path)
-        for pdf in it:
-            sizes, sums = [], []
-            for t in pdf["__text"]:
-                ids = encoder.encode(t or "").tobytes() + end
-                sizes.append(len(ids) // 4)
-                sums.append([zlib.crc32(ids[i : i + 4 * window]) for i in range(0, len(ids), 4 * window)])
-            yield pdf.drop(columns="__text").assign(doc_tokens=sizes, crcs=sums)
-
-    return taken.mapInPandas(run, f"{kind}, doc_tokens long, crcs array<long>")
+
+        def run(texts: list[str | None]) -> list[list]:
+            whole = [encoder.encode(t or "").tobytes() + end for t in texts]
+            return [[len(ids) // 4 for ids in whole], [[zlib.crc32(ids[i : i + 4 * window]) for i in range(0, len(ids), 4 * window)] for ids in whole]]
+
+        return run
+
+    return appended(docs.select(*dict.fromkeys([*keep, text])), text, make, "doc_tokens long, crcs array<long>").select(*keep, "doc_tokens", "crcs")
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1) -> DataFrame:

@@ -22,6 +22,7 @@ other than the text are kept as they are.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.common import written
+from recordlake.llm.common import appended, written
 
 #: fixed values: given names by script and gender, family names by script
 GIVEN = {
@@ -308,19 +309,15 @@ def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text: s
     changes = written(changes.withColumnRenamed("id", "__id"), "changes")
     columns = docs.columns
     joined = docs.join(changes, F.col(id_col).cast("long") == F.col("__id"), "left").select(*columns, F.to_json("__changes").alias("__changes"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_entities long"
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
 
+    def make():
         surrogates = Surrogates(key)
-        for pdf in it:
-            texts, counts = [], []
-            for t, c in zip(pdf[text], pdf["__changes"], strict=True):
-                mentions = detect(t)
-                attempts = {(x["kind"], x["norm"]): x["attempt"] for x in json.loads(c)} if c else {}
-                texts.append(replace(t, mentions, surrogates, attempts) if mentions else t)
-                counts.append(len(mentions))
-            yield pdf.drop(columns="__changes").assign(**{text: texts, "n_entities": counts})
-
-    return joined.mapInPandas(run, kind)
+
+        def run(texts: list[str | None], changes: list[str | None]) -> list[list]:
+            found = [detect(t) for t in texts]
+            attempts = [{(x["kind"], x["norm"]): x["attempt"] for x in json.loads(c)} if c else {} for c in changes]
+            return [[replace(t, m, surrogates, a) if m else t for t, m, a in zip(texts, found, attempts, strict=True)], [len(m) for m in found]]
+
+        return run
+
+    return appended(joined, text, make, f"`{text}` string, n_entities long", replace=True, drop=("__changes",))

@@ -330,7 +330,7 @@ def _classes(least: int):
     return run
 
 
-def _removed(parts: int, least: int, give_text: bool):
+def _removed(parts: int, least: int, give_text: bool, carry: tuple[str, ...] = ()):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         texts, ids = _texts(docs), _ids(docs)
         whole = [(t or "").encode() for t in docs["text"]]
@@ -372,28 +372,28 @@ def _removed(parts: int, least: int, give_text: bool):
             if give_text:
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 row += (kept.decode("utf-8", "ignore"), edge.tolist())
-            out.append(row)
-        columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "edges"] if give_text else [])]
+            out.append((*row, *(docs[c].iloc[k] for c in carry)))
+        columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "edges"] if give_text else []), *carry]
         return pd.DataFrame(out, columns=columns)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 50, block_bytes: int = 12_000_000, give_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 50, block_bytes: int = 12_000_000, give_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
     With ``give_text`` also ``kept`` (bytes of characters cut in two are left out) and ``edges``, the removed
-    byte ranges as start and end in turn.
+    byte ranges as start and end in turn; string columns named in ``carry`` come along.
     """
     if least < KMER:
         raise ValueError(f"least must be {KMER} or more")
     parts = block_count(docs, text, block_bytes)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    d = d.select(F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int").alias("block"), "id", "text")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).cast("string").alias(c) for c in carry))
+    d = d.select(F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int").alias("block"), "id", "text", *carry)
     asked = d.groupBy("block").applyInPandas(_question(parts, least), "part int, block int, keys binary, several binary")
     common = asked.groupBy("part").applyInPandas(_shared, "block int, part int, common binary")
     sent = d.groupBy("block").cogroup(common.groupBy("block")).applyInPandas(_send(parts, least), "part int, block int, bytes binary, sizes binary, keys binary, smallest binary")
     classes = sent.groupBy("part").applyInPandas(_classes(least), "block int, part int, answer binary")
-    kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, edges array<long>" if give_text else "")
-    out = d.groupBy("block").cogroup(classes.groupBy("block")).applyInPandas(_removed(parts, least, give_text), kind)
+    kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, edges array<long>" if give_text else "") + "".join(f", `{c}` string" for c in carry)
+    out = d.groupBy("block").cogroup(classes.groupBy("block")).applyInPandas(_removed(parts, least, give_text, carry), kind)
     return out.withColumnRenamed("id", id_col)

@@ -24,15 +24,15 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlake.llm.common import appended
+
 LEVEL = 6
 TAIL = bytes([*range(1, 9), 11, *range(14, 32)])
 TOP = 3
@@ -188,17 +188,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: the id) and ``score``; every row of ``docs`` once."""
-    keep = keep or [id_col]
-    taken = docs.select(*keep, F.col(text).alias("__text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scorer = Scorer(model) if model is not None else None
-        for pdf in it:
-            values = [scorer(t or "") if scorer else 0.0 for t in pdf["__text"]]
-            yield pdf.drop(columns="__text").assign(__score=values)
+        return lambda texts: [[scorer(t or "") if scorer else 0.0 for t in texts]]
 
-    return taken.mapInPandas(run, f"{kind}, __score double").withColumnRenamed("__score", "score")
+    keep = keep or [id_col]
+    return appended(docs.select(*dict.fromkeys([*keep, text])), text, make, "score double").select(*keep, "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
