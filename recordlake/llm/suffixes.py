@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,13 +205,14 @@ def _send(parts: int, least: int):
         shared = _collect_shared(texts, answers, parts, least)
         contents, smallest, key, _ = _segments(texts, _ids(docs), shared, least)
         part = (key % np.uint64(parts)).astype(np.int64)
+        z = zstandard.ZstdCompressor(level=1)
         # the block's own note, handed through by the next step
         rows = [(-1 - block, block, b"", b"", squeeze(gaps(shared)), b"")]
         for p in range(parts):
             here = _in_part(part, p, key)
             mine = [contents[i] for i in here]
             sizes = np.array([len(c) for c in mine], np.uint64)
-            rows.append((p, block, b"".join(mine), squeeze(sizes), squeeze(gaps(key[here])), squeeze(smallest[here].astype(np.uint64))))
+            rows.append((p, block, z.compress(b"".join(mine)), squeeze(sizes), squeeze(gaps(key[here])), squeeze(smallest[here].astype(np.uint64))))
         return pd.DataFrame(rows, columns=["part", "block", "bytes", "sizes", "keys", "smallest"])
 
     return run
@@ -300,8 +302,9 @@ def _classes(least: int):
         smallest: list[int] = []
         keys: list[int] = []
         asked = []
+        z = zstandard.ZstdDecompressor()
         for data, sizes, key, ids in zip(pdf["bytes"], pdf["sizes"], pdf["keys"], pdf["smallest"], strict=True):
-            at, mine = 0, []
+            at, mine, data = 0, [], z.decompress(data)
             for size, m, o in zip(expand(sizes).tolist(), np.cumsum(expand(key), dtype=np.uint64).tolist(), expand(ids).astype(np.int64).tolist(), strict=True):
                 content = data[at : at + size]
                 at += size
