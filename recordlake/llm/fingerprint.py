@@ -123,9 +123,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     w = Window.partitionBy("bucket").orderBy(F.col("id").desc_nulls_last(), F.col("text"))
     inside = d.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("inner_next"))
     # the first row of each range: one row a bucket
-    first = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("a"), F.xxhash64("text").alias("b"))
     heads = inside.filter("rn = 1").select(F.col("bucket").alias("b"), F.col("text").alias("head"))
-    del first
     order = Window.orderBy(F.col("b").desc())
     after = heads.select("b", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
     joined = inside.join(after, (inside.bucket == after.b) & inside.inner_next.isNull(), "left")
@@ -136,9 +134,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """Fingerprints of every text, of its edited text (its last half replaced by the start of the next
     document) and the likeness to the edited text and to the next document."""
     d = with_next(docs, id_col, text)
-    n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
+    n = F.char_length("text")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"), F.expr("substring(next_text, 1, cast(char_length(text) div 2 as int))"))
-    del half
     d = d.select("bucket", "rn", "id", n.cast("long").alias("n_chars"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"), F.array(F.col("text"), edited, F.col("next_text")).alias("texts"))
     keys = ["bucket", "rn", "id", "n_chars", "edited_sha256"]
     d = d.select(*keys, F.posexplode("texts").alias("which", "one"))
