@@ -12,6 +12,9 @@ from recordlake.functions.text import content_match
 from recordlake.operators.index import lookup_accumulated
 from recordlake.operators.state import latest, live, live_paged, SAVE
 
+#: so many keys of 36 characters are a few MB
+BROADCAST_KEYS = 50_000
+
 
 def page(df: DataFrame, order: str, skip: int = 0, take: int | None = None) -> DataFrame:
     """Rows ``skip`` to ``skip + take`` by ``order``, which must be unique."""
@@ -29,9 +32,10 @@ def multi_get(log: DataFrame, table: str, keys: Sequence[str], skip: int = 0, ta
     """Live rows in the order of ``keys``, as often as a key is asked for; missing keys do not count for paging."""
     spark = log.sparkSession
     wanted = spark.createDataFrame(list(enumerate(keys)), "pos long, key string")
-    # the caller's keys come from the driver; only their rows are aggregated
-    rows = log.filter(F.col("table_name") == table).join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi")
-    found = live(rows).join(F.broadcast(wanted), "key")
+    # only the rows of the caller's keys are aggregated; few keys are broadcast, many are joined by a shuffle
+    hint = F.broadcast if len(keys) <= BROADCAST_KEYS else (lambda df: df)
+    rows = log.filter(F.col("table_name") == table).join(hint(wanted.select("key").distinct()), "key", "left_semi")
+    found = live(rows).join(hint(wanted), "key")
     return page(found.select("pos", "table_name", "key", "data", "seq"), "pos", skip, take)
 
 
