@@ -99,4 +99,16 @@ parts AS (SELECT gap.doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS last,
 SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
        sha256(unhex(CASE WHEN n IS NULL THEN h ELSE pre || substr(h, 2 * last + 1) END)) AS kept_sha256
 FROM d LEFT JOIN parts USING (doc_id)""",
+    "op3_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT doc_id, min(r) AS class_id, doc_id = min(r) AS kept FROM reach GROUP BY doc_id""",
 }
