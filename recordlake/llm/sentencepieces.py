@@ -66,7 +66,10 @@ class Pieces:
         self.near = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
 
     def units(self, word: str) -> list[str]:
-        """Cut where two characters stand side by side in no piece."""
+        """Cut where two characters stand side by side in no piece; a word of letters alone stays whole."""
+        bare = word[1:] if word[:1] == " " else word
+        if len(bare) <= 24 and (bare.isalpha() or not bare):
+            return [SPACE + bare] if len(bare) < len(word) else [word]
         word = word.replace(" ", SPACE)
         cuts = [0, *(i for i, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in self.near), len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -133,7 +136,7 @@ def _unpacked(pdf: pd.DataFrame) -> Iterator[tuple[int | None, str]]:
 
 
 def _part(unit: str, parts: int) -> int:
-    return xxhash.xxh3_64_intdigest(unit.encode()) % parts
+    return zlib.crc32(unit.encode()) % parts
 
 
 def _asked(pieces: Pieces, words: set[str], parts: int) -> list[list[str]]:
@@ -264,7 +267,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(_packed(blocks), "block int, docs binary")
     asked = packed.groupBy("block").applyInPandas(_question(path, blocks), "part int, block int, units binary")
     units = asked.groupBy("part").applyInPandas(_different, "part int, unit string")
-    short = units.filter((F.char_length("unit") >= 2) & (F.char_length("unit") <= BITS))
+    # dealt by part before their substrings are exploded: neither the edges nor the result are shuffled again
+    short = units.filter((F.char_length("unit") >= 2) & (F.char_length("unit") <= BITS)).repartition("part")
     edges = lattice(short, table, pieces.longest, ["part"])
     merged = edges.select("part", "unit", best_merges(F.col("unit"), F.col("edges")).alias("borders"))
     answers = asked.groupBy("part").cogroup(merged.groupBy("part")).applyInPandas(_answer(path), "block int, part int, ids binary")
