@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,7 +49,8 @@ TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Señor": "m", "Monsieur": "m",
 SYLLABLES = {"latin": "ba den far gol hem kir lan mor nel por ras sen tul var wen zim".split(), "cyrillic": "ба вен гор дар зим кол лан мор нел пор рас тул".split()}
 
 EMAIL = re.compile(r"[^\W_](?:[\w.+%-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}")
-DIGITS = re.compile(r"(?<![\w.])\(?\+?\(?\d[\d ().\-]{5,28}\d(?![\w])")
+#: all that may be in an address, number or card, however long: numbers side by side are one run
+DIGITS = re.compile(r"[+(]?\d[\d +().\-]{5,}\d")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 CARD = re.compile(r"(?<!\w)(?:\d[ -]?){12,18}\d(?!\w)")
@@ -58,6 +60,8 @@ KEY = re.compile(r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?!\w)")
 NAME = re.compile(r"\b(?:(" + "|".join(TITLES) + r")\.? )?((?:[^\W\d_]|[-'])+)(?: ((?:[^\W\d_]|[-'])+))?")
 GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
+LONGEST = 37  # characters of a card or phone at most
+_WORD = re.compile(r"\w")
 _TITLE = re.compile(r"\b(?:" + "|".join(TITLES) + r")\b")
 
 
@@ -109,6 +113,56 @@ def _name_parts(text: str) -> Iterator[Mention]:
             done = m.end(2)
 
 
+def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of spans (start, end, digits) those apart from each other that have most digits in all; of equals the fewest."""
+    spans = sorted(spans, key=lambda x: (x[1], x[0]))
+    ends = [b for _, b, _ in spans]
+    best: list[tuple] = [(0, 0, None)]  # digits, spans (negative), the last span and what is before it
+    for i, (a, b, n) in enumerate(spans):
+        digits, count, before = best[bisect_right(ends, a, 0, i)]
+        best.append(max(best[i], (digits + n, count - 1, ((a, b), before)), key=lambda x: x[:2]))
+    chosen, chain = [], best[-1][2]
+    while chain:
+        at, chain = chain
+        chosen.append(at)
+    return chosen[::-1]
+
+
+def _valid(kind: str, digits: str) -> bool:
+    if kind == "card":
+        return digits[0] in "3456" and (_luhn(digits[:-1]) == int(digits[-1]) or len(digits) == 16)
+    return 8 <= len(digits) <= 15
+
+
+def _candidates(kind: str, pattern: re.Pattern, part: str) -> Iterator[tuple[int, int, int]]:
+    """Every start and end at which ``part`` has a valid number, so that no neighbour can spoil one."""
+    at = 0
+    while m := pattern.search(part, at):
+        a = m.start()
+        for b in range(a + 8, min(a + LONGEST, len(part)) + 1):
+            if part[b - 1].isdigit() and not _WORD.match(part, b) and pattern.fullmatch(part, a, b):
+                digits = re.sub(r"\D", "", part[a:b])
+                if _valid(kind, digits):
+                    yield a, b, len(digits)
+        at = a + 1
+
+
+def _numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[Mention]:
+    """IPv4 addresses, social security numbers, cards and phones, each in what the kinds before it leave."""
+    for run in DIGITS.finditer(text):
+        first = max(run.start() - 1, 0)
+        part = text[first : run.end() + 1]  # with the characters around it, which the patterns look at
+        for a, b in taken:
+            if a < run.end() and b > first:
+                a, b = max(a - first, 0), min(b - first, len(part))
+                part = part[:a] + "_" * (b - a) + part[b:]
+        for kind, pattern in (("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE)):
+            spans = [m.span() for m in pattern.finditer(part)] if kind in ("ip", "ssn") else _apart(list(_candidates(kind, pattern, part)))
+            for a, b in spans:
+                yield Mention(first + a, first + b, kind, part[a:b], part[a:b] if kind == "ip" else re.sub(r"\D", "", part[a:b]))
+                part = part[:a] + "_" * (b - a) + part[b:]
+
+
 def detect(text: str | None) -> list[Mention]:
     """The mentions of a text, in order and apart from each other."""
     if not text:
@@ -123,16 +177,7 @@ def detect(text: str | None) -> list[Mention]:
         bare = m[0].replace(" ", "")
         if _iban_check(bare[:2], bare[4:]) == bare[2:4]:
             found.append(Mention(m.start(), m.end(), "iban", m[0], bare))
-    for run in DIGITS.finditer(text):
-        a, b = run.span()
-        for kind, pattern in (("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE)):
-            for m in pattern.finditer(text, a, b):
-                digits = re.sub(r"\D", "", m[0])
-                if kind == "card" and not (digits[0] in "3456" and (_luhn(digits[:-1]) == int(digits[-1]) or len(digits) == 16)):
-                    continue
-                if kind == "phone" and not 8 <= len(digits) <= 15:
-                    continue
-                found.append(Mention(m.start(), m.end(), kind, m[0], m[0] if kind == "ip" else digits))
+    found += _numbers(text, [(m.start, m.end) for m in found])
     found += _name_parts(text)
     order = {k: i for i, k in enumerate(("email", "key", "iban", "secret", "ip", "ssn", "card", "phone"))}
     found.sort(key=lambda x: (order.get(x.kind, 9), x.start))

@@ -244,6 +244,23 @@ def test_permutation_is_one_to_one():
     assert len({s.of("ip", f"10.0.{i}.{j}") for i in range(1, 20) for j in range(1, 20)}) == 361
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "+1 (826) 555-4081 | 190.137.223.204", "+1 (843) 555-7672 | 170.106.47.218", "190.137.223.204 | 170.106.47.218 | 123-45-6789", "826-555-4081 | 843-555-7672", "+1 826 555 4081 | 843-555-7672 | 4111 1111 1111 1111",
+        "4111 1111 1111 1111 | 3782 822463 10005 | 123-45-6789 | +1 (446) 555-8962", "3782 822463 10005 | 4111 1111 1111 1111", "5500 0000 0000 0004 | 10.2.3.4 | 4111-1111-1111-1111", "+1 (446) 555-8962 | +44 20 7946 0958 | (446) 555-8962",
+    ],
+)
+def test_numbers_side_by_side_are_all_found(text):
+    assert [m.text for m in pii.detect("see " + text.replace("| ", "") + " now")] == text.split(" | ")
+
+
+def test_numbers_are_found_beside_short_ones():
+    assert [m.text for m in pii.detect("12 4111 1111 1111 1111 12/27, tel.+1 (826) 555-4081")] == ["4111 1111 1111 1111", "+1 (826) 555-4081"]
+    assert [m.text for m in pii.detect("4111111111111111x 1.2.3.4.5 v10.2.3.4 1.2.3.4x")] == []
+    assert len(pii.detect("+1 (826) 555-4081 " * 3000)) == 3000
+
+
 # toxicity
 def test_compression_distance_learns():
     r = random.Random(1)
