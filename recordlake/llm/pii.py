@@ -6,8 +6,8 @@ capitalised one). A name counts as its parts, so that "Ann Lee" and "Ms Lee" kee
 
 A surrogate keeps type and format. All but name parts run through a keyed permutation of the strings of
 their shape (a Feistel network over mixed radices: a digit stays a digit, a capital a capital, signs stay
-where they are), with check digits made anew; so different originals of a shape have different
-surrogates. Name parts are drawn by a keyed hash from lists by gender and script, and from composed
+where they are, letters keep script and case), with check digits made anew; so different originals of a
+shape have different surrogates. What that leaves as it is gets a keyed draw instead. Name parts are drawn by a keyed hash from lists by gender and script, and from composed
 names after that. The text as found is spelled like the mention: case and separators are the mention's.
 
 Collision checks run over all entities of the corpus: an entity whose surrogate is a real entity or is
@@ -24,9 +24,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -190,6 +192,24 @@ def detect(text: str | None) -> list[Mention]:
     return sorted(taken, key=lambda x: x.start)
 
 
+CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+
+
+@lru_cache(maxsize=65536)
+def _alphabet(c: str) -> str:
+    """The letters or digits that may stand for ``c``: its class, or what is of its script, case and 256 code points; maybe none."""
+    for a in CLASSES:
+        if c in a:
+            return a
+    if not c.isalnum():
+        return ""
+    trait = lambda x: (unicodedata.category(x), unicodedata.name(x, "").split(" ")[0])
+    steady = lambda x: x.isalnum() and len(x.lower()) == 1 and len(x.upper()) == 1 and x in (x.lower(), x.lower().upper()) and x.lower() == x.upper().lower()
+    near = map(chr, range(ord(c) & ~0xFF, (ord(c) | 0xFF) + 1))
+    a = "".join(x for x in near if trait(x) == trait(c) and steady(x) and not any(x in k for k in CLASSES))
+    return a if c in a and len(a) > 1 else ""
+
+
 class Surrogates:
     def __init__(self, key: bytes) -> None:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
@@ -220,8 +240,7 @@ class Surrogates:
 
     def _shape(self, kind: str, text: str, free: str | None = None) -> str:
         """Permute letters and digits where they stand; ``free``: one alphabet for all of them."""
-        classes = (free,) if free else ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        at = [(i, a) for i, c in enumerate(text) for a in classes if c in a]
+        at = [(i, a) for i, c in enumerate(text) if (a := (free if c in free else "") if free else _alphabet(c))]
         got = iter(self.permute(kind, "".join(text[i] for i, _ in at), [a for _, a in at]))
         chosen = {i for i, _ in at}
         return "".join(next(got) if i in chosen else c for i, c in enumerate(text))
@@ -275,15 +294,45 @@ class Surrogates:
             made += parts[at]
         return made + {"f": "a" if script == "latin" else "а"}.get(rest[0] if what == "given" else "", "")
 
+    def _drawn(self, kind: str, norm: str, attempt: int) -> str:
+        """A keyed draw for what its shape cannot give a surrogate; a letter more in an e-mail address."""
+        draw = lambda i, a: a[self._draw("drawn", kind, norm, attempt, i) % len(a)]
+        fresh = lambda n, a="0123456789": "".join(draw(i, a) for i in range(n))
+        if kind == "email":
+            local, _, domain = norm.rpartition("@")
+            name, _, top = domain.rpartition(".")
+            head, dot, zone = name.rpartition(".")
+            before = f"{local}@{head}" if dot else local
+            made = "".join(draw(i, CLASSES[0] if c.isdigit() else CLASSES[1]) if c.isalnum() else c for i, c in enumerate(before))
+            local, _, head = made.partition("@")
+            local += draw(-1, CLASSES[1])
+            return f"{local}@{head}{dot}{zone}.{top}" if dot else f"{local}@{name}.{top}"
+        if kind == "ip":
+            return ".".join(str(1 + self._draw("drawn", kind, norm, attempt, i) % 254) for i in range(4))
+        if kind == "card":
+            made = norm[0] + fresh(len(norm) - 2)
+            return made + str(_luhn(made))
+        if kind == "iban":
+            rest = fresh(len(norm) - 4)
+            return norm[:2] + _iban_check(norm[:2], rest) + rest
+        if kind == "key":
+            return norm[:4] + fresh(len(norm) - 4, CLASSES[0] + CLASSES[2])
+        if kind == "secret":
+            return fresh(len(norm), "0123456789abcdef" if norm.lower() == norm else "0123456789ABCDEF")
+        cut = max(len(norm) - 10, 0) if kind == "phone" else 0
+        return norm[:cut] + fresh(len(norm) - cut)
+
     def of(self, kind: str, norm: str, attempt: int = 0) -> str:
-        """The ``attempt``-th surrogate of an entity, never the entity itself while another can be had."""
+        """The ``attempt``-th surrogate of an entity, never the entity itself."""
         if "-" in kind:
             made = self._name(kind, norm, attempt)
             return made if made != norm else self._name(kind, norm, attempt + 101)
         out = norm
         for _ in range(attempt + 1):
             out = self._once(kind, out)
-        return out if out != norm else self._once(kind, out)
+        while out == norm:  # nothing to permute, or the permutation comes back to it
+            out, attempt = self._drawn(kind, norm, attempt), attempt + 101
+        return out
 
     @staticmethod
     def spelled(made: str, mention: Mention) -> str:

@@ -261,6 +261,23 @@ def test_numbers_are_found_beside_short_ones():
     assert len(pii.detect("+1 (826) 555-4081 " * 3000)) == 3000
 
 
+def test_no_address_is_its_own_surrogate():
+    s = pii.Surrogates(b"k")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for local in ["иван", "ИВАН.Петров", "李雷", "محمد", "ñandú", "ª", "ςς", "٣٤", "ßẞ", "İx", *letters]:
+        text = f"to {local}@mail.ru"
+        found = pii.detect(text)
+        assert len(found) == 1
+        for attempt in range(30):
+            made = s.of("email", found[0].norm, attempt)
+            assert made != found[0].norm and made == made.lower()
+        out = pii.replace(text, found, s, {})
+        assert out.endswith("@mail.ru") and local.lower() not in out.lower().split()[1].split("@") and len(pii.detect(out)) == 1
+    assert len({s.permute("t", c, ["абвг"]) for c in "абвг"}) == 4 and all("а" <= c <= "я" for c in s.of("email", "иван@mail.ru")[:4])
+    assert all(c in pii._alphabet(c) and {pii._alphabet(x) for x in pii._alphabet(c)} == {pii._alphabet(c)} for c in "aZ5жЖσéÉ李م٣ñ")
+    assert len({s.of("email", f"é{c}@x.org") for c in letters}) == 26
+
+
 # toxicity
 def test_compression_distance_learns():
     r = random.Random(1)
