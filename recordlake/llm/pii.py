@@ -11,7 +11,8 @@ shape have different surrogates. What that leaves as it is gets a keyed draw ins
 names after that. The text as found is spelled like the mention: case and separators are the mention's.
 
 Collision checks run over all entities of the corpus: an entity whose surrogate is a real entity or is
-another entity's surrogate too takes its next surrogate, until no clash is left. The entities with other
+another entity's surrogate too takes its next surrogate, until no clash is left; after some attempts the
+next is longer than the entity, as short shapes may have no free string. The entities with other
 than their first surrogate are joined to their documents by id; everything else needs no join.
 
 Defined cases: null text stays null; empty text has no entities; rows with equal ids get the union of
@@ -192,6 +193,8 @@ def detect(text: str | None) -> list[Mention]:
     return sorted(taken, key=lambda x: x.start)
 
 
+#: attempts within an entity's own shape; later ones are from wider and wider shapes, which no corpus fills
+WALKS = 8
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 
 
@@ -295,9 +298,10 @@ class Surrogates:
         return made + {"f": "a" if script == "latin" else "а"}.get(rest[0] if what == "given" else "", "")
 
     def _drawn(self, kind: str, norm: str, attempt: int) -> str:
-        """A keyed draw for what its shape cannot give a surrogate; a letter more in an e-mail address."""
+        """A keyed draw for what its shape cannot give a surrogate: a letter more in an e-mail address, and the longer the later."""
         draw = lambda i, a: a[self._draw("drawn", kind, norm, attempt, i) % len(a)]
-        fresh = lambda n, a="0123456789": "".join(draw(i, a) for i in range(n))
+        more = max(attempt - WALKS, 0) // 4
+        fresh = lambda n, a="0123456789": "".join(draw(i, a) for i in range(n + more))
         if kind == "email":
             local, _, domain = norm.rpartition("@")
             name, _, top = domain.rpartition(".")
@@ -305,7 +309,7 @@ class Surrogates:
             before = f"{local}@{head}" if dot else local
             made = "".join(draw(i, CLASSES[0] if c.isdigit() else CLASSES[1]) if c.isalnum() else c for i, c in enumerate(before))
             local, _, head = made.partition("@")
-            local += draw(-1, CLASSES[1])
+            local += "".join(draw(-1 - i, CLASSES[1]) for i in range(1 + more))
             return f"{local}@{head}{dot}{zone}.{top}" if dot else f"{local}@{name}.{top}"
         if kind == "ip":
             return ".".join(str(1 + self._draw("drawn", kind, norm, attempt, i) % 254) for i in range(4))
@@ -328,9 +332,10 @@ class Surrogates:
             made = self._name(kind, norm, attempt)
             return made if made != norm else self._name(kind, norm, attempt + 101)
         out = norm
-        for _ in range(attempt + 1):
-            out = self._once(kind, out)
-        while out == norm:  # nothing to permute, or the permutation comes back to it
+        if attempt < WALKS:
+            for _ in range(attempt + 1):
+                out = self._once(kind, out)
+        while out == norm:  # nothing to permute, the permutation comes back to it, or the shape may be full
             out, attempt = self._drawn(kind, norm, attempt), attempt + 101
         return out
 
@@ -343,7 +348,7 @@ class Surrogates:
             return "".join(a.upper() if b.isupper() else a for a, b in zip(made, mention.text, strict=True)) if len(made) == len(mention.text) else made
         if mention.kind in ("card", "phone", "ssn", "iban"):
             got = iter(made)
-            return "".join(next(got) if c.isalnum() else c for c in mention.text)
+            return "".join(next(got) if c.isalnum() else c for c in mention.text) + "".join(got)
         return made
 
 
@@ -368,7 +373,7 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return taken.mapInPandas(run, "id long, kind string, norm string")
 
 
-def assignments(found: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
+def assignments(found: DataFrame, key: bytes) -> DataFrame:
     """``kind, norm, made, attempt``: different surrogates for different entities, none of them a real entity."""
 
     def propose(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -381,7 +386,7 @@ def assignments(found: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
     each = found.select("kind", "norm").distinct()
     fixed = written(each.withColumn("attempt", F.lit(0)).select("kind", "norm", "attempt").mapInPandas(propose, kind), "surrogates")
     real = fixed.select(F.col("norm").alias("made"), F.regexp_replace("kind", "-[fmu]-", "-").alias("type")).distinct()
-    for _ in range(rounds):
+    while True:  # wider shapes end it
         typed = fixed.withColumn("type", F.regexp_replace("kind", "-[fmu]-", "-"))
         # the smallest entity with a surrogate keeps it, unless it is a real one
         first = typed.groupBy("type", "made").agg(F.min(F.struct("kind", "norm")).alias("owner"), F.count(F.lit(1)).alias("n"))

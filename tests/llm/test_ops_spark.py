@@ -188,6 +188,14 @@ def test_surrogates_of_many_names_stay_apart(spark):
     assert len(set(made)) == len(names) and not set(made) & set(names)
 
 
+def test_surrogates_of_a_full_shape_stay_apart(spark):
+    names = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    df = spark.createDataFrame([(k, f"to {n}") for k, n in enumerate(names)], "doc_id long, text string")
+    made = [r.text.split()[1] for r in pii.surrogate_texts(df, b"key").collect()]
+    assert len(set(made)) == len(names) and not set(made) & set(names)
+    assert all(len(pii.detect(m)) == 1 for m in made)
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
