@@ -46,12 +46,12 @@ class Model:
     window: int
 
 
-def _marks(own: Counter, other: Counter, n_own: int, n_other: int, share: float, least: float) -> list[bytes]:
-    """Segments that a likelihood-ratio test ties to the first class, strongest first."""
+def _marks(own: Counter, other: Counter, n_own: int, n_other: int, least: float) -> list[bytes]:
+    """Segments that a likelihood-ratio test ties to the first class, strongest first, however rare in the class."""
     found = []
     for w, x in own.items():
         y = other[w]
-        if x < max(4, share * n_own) or x / n_own <= 2 * y / n_other:
+        if x < 4 or x / n_own <= 2 * y / n_other:
             continue
         e, f = (x + y) * n_own / (n_own + n_other), (x + y) * n_other / (n_own + n_other)
         ratio = 2 * (x * math.log(x / e) + (y * math.log(y / f) if y else 0.0))
@@ -60,17 +60,14 @@ def _marks(own: Counter, other: Counter, n_own: int, n_other: int, share: float,
     return [w for _, w in sorted(found)]
 
 
-def _dictionary(common: list[bytes], own: list[bytes], common_bytes: int, own_bytes: int) -> bytes:
-    """The most telling segments come last, where a reference to them is shortest."""
-    out = b""
-    for words, room in ((own, own_bytes), (common, common_bytes)):
-        part = b""
-        for w in words:
-            if len(part) + len(w) + 1 > room:
-                break
-            part = b" " + w + part
-        out = part + out
-    return out + b" " + TAIL
+def _dictionary(common: list[bytes], own: list[bytes], common_bytes: int) -> bytes:
+    """The most telling segments come last, where a reference to them is shortest; all of ``own`` are in."""
+    part = b""
+    for w in common:
+        if len(part) + len(w) + 1 > common_bytes:
+            break
+        part = b" " + w + part
+    return part + b"".join(b" " + w for w in reversed(own)) + b" " + TAIL
 
 
 class Windows:
@@ -138,15 +135,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return b
 
 
-def fit(toxic: list[str], ordinary: list[str], window: int = 1, share: float = 0.02, least: float = 25.0, own_bytes: int = 2048, common_bytes: int = 4096) -> Model:
+def fit(toxic: list[str], ordinary: list[str], window: int = 1, least: float = 25.0, common_bytes: int = 4096) -> Model:
     """Two dictionaries, window weights and the calibration from two lists of texts."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     count = lambda texts: Counter(w for t in texts for w in set(t.encode().lower().split()))
     a, b = count(toxic), count(ordinary)
-    marks = _marks(a, b, len(toxic), len(ordinary), share, least), _marks(b, a, len(ordinary), len(toxic), share, least)
+    marks = _marks(a, b, len(toxic), len(ordinary), least), _marks(b, a, len(ordinary), len(toxic), least)
     telling = {w for m in marks for w in m}
     common = [w for _, w in sorted((-n, w) for w, n in (a + b).items() if n > 1 and w not in telling)[:5000]]
-    dictionaries = tuple(_dictionary(common, m, common_bytes, own_bytes) for m in marks)
+    dictionaries = tuple(_dictionary(common, m, common_bytes) for m in marks)
     windows = Windows(dictionaries, window)
     found = [[windows.classes(t) for t in texts] for texts in (toxic, ordinary)]
     seen = np.zeros((2, Windows.CLASSES))

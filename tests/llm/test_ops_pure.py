@@ -295,6 +295,13 @@ def test_compression_distance_learns():
     assert 0 <= score("") < 0.5 and 0 <= score("x" * 20000) <= 1
 
 
+def test_rare_marks_are_in_the_dictionary():
+    rare = [f"rare{k:03d}" for k in range(300)]
+    bad = [f"vulgar text {i} {' '.join(rare) if i < 6 else ''}" for i in range(342)]
+    model = toxicity.fit(bad, [f"clean text {i}" for i in range(2800)])
+    assert all(w.encode() in model.dictionaries[0] and w.encode() not in model.dictionaries[1] for w in ["vulgar", *rare])
+
+
 # embeddings
 def test_ego_links_equal_brute_force():
     r = np.random.default_rng(2)
