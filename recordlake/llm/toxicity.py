@@ -12,8 +12,8 @@ weights calibrates the score, whose threshold is 0.5.
 Scoring (executors) runs over every window of every whole text; equal windows are compressed once a
 worker, in a cache of bounded size.
 
-Bounds: at most ``sample`` labelled rows of each class, chosen by a hash of the id, and ``sample_bytes``
-of each, are fetched to fit on; what is fitted has a few KB and does not grow with the data.
+Bounds: at most ``sample`` labelled rows of each class, chosen by a hash of the id, are fetched to fit on,
+with their whole texts; what is fitted does not grow with the data beyond that.
 
 Defined cases: null text counts as empty; an empty text has the score of a text whose windows all have
 weight 0; without labelled rows of both classes every score is 0; repeated rows are scored as often as
@@ -171,9 +171,9 @@ def held_out(id_col: str, remainder: int = 0) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == remainder, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 3000, sample_bytes: int = 16_000, window: int = 1) -> Model | None:
-    """Fit on at most ``sample`` labelled rows of each class, each up to ``sample_bytes`` characters."""
-    d = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, sample_bytes).alias("text"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 3000, window: int = 1) -> Model | None:
+    """Fit on at most ``sample`` labelled rows of each class, with their whole texts."""
+    d = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     by = F.xxhash64("id")
     texts: list[list[str]] = []
     for k in (1, 0):

@@ -231,6 +231,13 @@ def test_toxicity(spark, docs, none):
     assert [r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()] == [0.0] * len(ROWS)
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    plain = "plain words " * 1500
+    df = spark.createDataFrame([(k, f"{plain}{'vulgar' if k % 2 else 'quiet'} {k}") for k in range(100)], "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, toxic int"))
+    assert b"vulgar" in model.dictionaries[0] and b"vulgar" not in model.dictionaries[1]
+
+
 def test_fingerprints(spark, docs, none):
     rows = [(i, t) for i, t in ROWS if i != 13]
     got = {r.doc_id: r for r in fingerprint.compare_with_next(docs.filter("doc_id IS NULL OR doc_id <> 13")).collect()}
