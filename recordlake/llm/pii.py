@@ -1,8 +1,9 @@
 """Personal data: detection and keyed surrogates.
 
 Detected: e-mail addresses, phone numbers, payment cards, IPv4 addresses, social security numbers, IBANs,
-access keys, long hexadecimal secrets, and person names (after a title, or a known given name before a
-capitalised one). A name counts as its parts, so that "Ann Lee" and "Ms Lee" keep their common part.
+access keys, long hexadecimal secrets, and person names (after a title, or one of the given names of the
+surrogate pool before a capitalised one; other names stay). A name counts as its parts, so that "Anna Lee"
+and "Ms Lee" keep their common part; a part found in a document is replaced wherever the document has it.
 
 A surrogate keeps type and format. All but name parts run through a keyed permutation of the strings of
 their shape (a Feistel network over mixed radices: a digit stays a digit, a capital a capital, signs stay
@@ -181,7 +182,12 @@ def detect(text: str | None) -> list[Mention]:
         if _iban_check(bare[:2], bare[4:]) == bare[2:4]:
             found.append(Mention(m.start(), m.end(), "iban", m[0], bare))
     found += _numbers(text, [(m.start, m.end) for m in found])
-    found += _name_parts(text)
+    names = list(_name_parts(text))
+    found += names
+    # a part stands for the same person wherever it is in the document, without a title too
+    if bare := {m.text: m.kind for m in reversed(names) if len(m.text) > 1}:
+        parts = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(bare, key=len, reverse=True))) + r")(?!\w)")
+        found += [Mention(m.start(), m.end(), bare[m[0]], m[0], m[0].casefold()) for m in parts.finditer(text)]
     order = {k: i for i, k in enumerate(("email", "key", "iban", "secret", "ip", "ssn", "card", "phone"))}
     found.sort(key=lambda x: (order.get(x.kind, 9), x.start))
     taken: list[Mention] = []

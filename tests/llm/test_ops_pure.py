@@ -278,6 +278,15 @@ def test_no_address_is_its_own_surrogate():
     assert len({s.of("email", f"é{c}@x.org") for c in letters}) == 26
 
 
+def test_parts_of_a_name_are_found_without_a_title_too():
+    text = "Lee came. Ms Lee and Dr Ann Ray met; Lee said Ann's Leeds was far, leeward. lee@x.org"
+    found, s = pii.detect(text), pii.Surrogates(b"k")
+    assert [m.text for m in found] == ["Lee", "Lee", "Ann", "Ray", "Lee", "Ann", "lee@x.org"]
+    out = pii.replace(text, found, s, {}).split()
+    assert out[0] == out[3] == out[9] and "Lee" not in out and "Leeds" in out
+    assert [m.text for m in pii.detect("Mr J Smith, plan J")] == ["J", "Smith"]
+
+
 # toxicity
 def test_compression_distance_learns():
     r = random.Random(1)
