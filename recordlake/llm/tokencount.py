@@ -1,7 +1,7 @@
 """Token counts by section, from one encoding of the whole document.
 
 The fields of a document are joined to one text, encoded once; the lengths of the tokens' bytes give each
-token's span. Sections are the lines of each field (with their line break), or rows of a sections table.
+token's span. Sections are the lines of each field (with their line break).
 Tokens meet sections in an interval join on sorted borders. A token inside one section counts there; one
 that crosses borders is allocated by an explicit rule: ``"most"`` (the section with most of its bytes, the
 earlier one if equal), ``"start"`` (where its first byte is) or ``"split"`` (each section gets its share of
