@@ -1,29 +1,33 @@
-"""Toxicity by compression distance.
-
-Training (driver, on a bounded sample of labelled rows): the segments (lower-case words) that mark
-toxic and ordinary training texts by a likelihood ratio, and the segments common to both, make two raw
-zstandard dictionaries. They differ in the marking segments alone. A window of a text (``window``
-words) is compressed under both; what counts is the triple (bytes saved by the toxic dictionary over the
-ordinary one, bytes needed under the toxic one, bytes of the window). A fixed tail, in both dictionaries, ends every window,
-so the fixed costs of a frame are the same everywhere and short matches show. How much more often each
-such triple occurs in toxic training texts gives its weight; a logistic fit on a text's three largest
-weights calibrates the score, whose threshold is 0.5.
-
-Scoring (executors) runs over every window of every whole text; equal windows are compressed once a
-worker, in a cache of bounded size.
-
-Bounds: at most ``sample`` labelled rows of each class, chosen by a hash of the id, are fetched to fit on,
-with their whole texts; what is fitted does not grow with the data beyond that.
-
-Defined cases: null text counts as empty; an empty text has the score of a text whose windows all have
-weight 0; without labelled rows of both classes every score is 0; repeated rows are scored as often as
-they come; extra columns are dropped.
+"""Toxicity by compression distance under trained zstandard dictionaries.
+
+Training (driver, on a bounded sample of labelled rows): zstandard trains one dictionary on windows of
+ordinary text and several small ones (other segment lengths) on toxic text. Toxic texts are ordinary for
+the most part, so the toxic dictionaries are trained on what is news in them: the runs of ``GRAM``-byte
+strings that toxic texts have several times as often as ordinary ones. Each toxic dictionary is then
+appended to the ordinary one, and the ordinary one gets as many bytes that match nothing; so what both kinds
+of text have in common costs the same under all of them, and a difference comes from the toxic part alone.
+
+A window is a run of whole words of about ``window`` bytes. Its distance is its compressed length under the
+ordinary dictionary less the mean of its lengths under the toxic ones. A text's features are its largest
+distances, the shares of its windows with notable ones, and its number of windows, as the largest of many
+is larger by chance. A logistic fit calibrates them; its features come from texts that the dictionaries of
+their own half of the sample have not seen, so that learning by heart does not count. The threshold (score
+0.5) is set where at most the share ``false_alarms`` of those ordinary texts lies above it.
+
+Scoring (executors) runs over every window of every whole text.
+
+Bounds: at most ``sample`` labelled rows of each class, chosen by a hash of the id among those with a document,
+are fetched to fit on, with their whole texts (one text for each id); the dictionaries have a fixed size.
+
+Defined cases: null text counts as empty; an empty text has no windows and a score of its own; without
+labelled rows of both classes every score is 0; an id with both labels is toxic; repeated rows are scored
+as often as they come; extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,93 +37,123 @@ from pyspark.sql import functions as F
 
 from recordlake.llm.common import appended
 
-LEVEL = 6
-TAIL = bytes([*range(1, 9), 11, *range(14, 32)])
-TOP = 3
+LEVEL = 3
+ORDINARY, TOXIC = 16_384, 1_024  # bytes of the two parts of a dictionary
+SEGMENTS = (16, 20, 24)  # segment lengths, one toxic dictionary each
+GRAM, NEWS, LEAST = 7, 6.0, 5  # bytes; how many times as often in toxic texts; in so many of them at least
+TOP, NOTABLE = 4, (2.0, 3.0)
+#: bytes that no text has
+NOTHING = bytes([*range(1, 9), 11, *range(14, 32)]) * (TOXIC // 26)
 
 
 @dataclass(frozen=True)
 class Model:
-    dictionaries: tuple[bytes, bytes]  # toxic, ordinary
-    weights: np.ndarray  # by (bytes saved, bytes needed, bytes of the window)
-    coefficients: np.ndarray  # intercept, then TOP weights
+    ordinary: bytes
+    toxic: tuple[bytes, ...]
+    center: np.ndarray
+    spread: np.ndarray
+    coefficients: np.ndarray  # intercept, features, their squares
     window: int
 
 
-def _marks(own: Counter, other: Counter, n_own: int, n_other: int, least: float) -> list[bytes]:
-    """Segments that a likelihood-ratio test ties to the first class, strongest first, however rare in the class."""
-    found = []
-    for w, x in own.items():
-        y = other[w]
-        if x < 4 or x / n_own <= 2 * y / n_other:
-            continue
-        e, f = (x + y) * n_own / (n_own + n_other), (x + y) * n_other / (n_own + n_other)
-        ratio = 2 * (x * math.log(x / e) + (y * math.log(y / f) if y else 0.0))
-        if ratio >= least:
-            found.append((-ratio, w))
-    return [w for _, w in sorted(found)]
-
-
-def _dictionary(common: list[bytes], own: list[bytes], common_bytes: int) -> bytes:
-    """The most telling segments come last, where a reference to them is shortest; all of ``own`` are in."""
-    part = b""
-    for w in common:
-        if len(part) + len(w) + 1 > common_bytes:
-            break
-        part = b" " + w + part
-    return part + b"".join(b" " + w for w in reversed(own)) + b" " + TAIL
+def _plain(text: str) -> bytes:
+    return b" " + b" ".join(text.encode().lower().split()) + b" "
+
+
+def windows(text: str, size: int) -> list[bytes]:
+    """All words of a text, in runs of whole words that reach ``size`` bytes."""
+    out, held, n = [], [], 0
+    for w in text.encode().lower().split():
+        held.append(w)
+        n += len(w) + 1
+        if n >= size:
+            out.append(b" " + b" ".join(held) + b" ")
+            held, n = [], 0
+    if held:
+        out.append(b" " + b" ".join(held) + b" ")
+    return out
+
+
+def _grams(data: bytes) -> np.ndarray:
+    """The strings of ``GRAM`` bytes as numbers, by place."""
+    a = np.frombuffer(data, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(a) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        out = out << np.uint64(8) | a[k : k + len(out)]
+    return out
+
+
+def _in_texts(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
+
+
+def _times(table: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
+    if not len(table[0]):
+        return np.zeros(len(grams), int)
+    at = np.minimum(np.searchsorted(table[0], grams), len(table[0]) - 1)
+    return np.where(table[0][at] == grams, table[1][at], 0)
+
 
+def _news(own: list[bytes], other_texts: int, mine: tuple, others: tuple, least: int) -> Iterator[bytes]:
+    """The runs of strings that ``own`` texts have ``NEWS`` times as often as the others, in ``least`` texts or more."""
+    for data in own:
+        grams = _grams(data)
+        a, b = _times(mine, grams), _times(others, grams)
+        at = np.flatnonzero((a >= least) & ((a + 0.5) / (len(own) + 1) > NEWS * (b + 0.5) / (other_texts + 1)))
+        change = np.zeros(len(data) + 1, int)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + GRAM, -1)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(change[:-1]) > 0, [0]])))
+        yield from (data[x:y] for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
-class Windows:
-    """Classes of windows by compression under two dictionaries; made once a worker."""
 
-    SAVED, NEEDED, LENGTH = 16, 16, 32
-    CLASSES = SAVED * NEEDED * LENGTH
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a dictionary that zstandard trains, without its head; the samples themselves if they are too few to train on."""
+    try:
+        got = zstandard.train_dictionary(size + 1024, samples, k=segment, d=6, level=LEVEL).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        got = b"".join(samples)[-size:]
+    return got.rjust(size, NOTHING[:1])
 
-    def __init__(self, dictionaries: tuple[bytes, bytes], window: int, room: int = 300_000) -> None:
+
+def _dictionaries(toxic: list[bytes], ordinary: list[bytes], found: tuple[list, list], base: bytes) -> tuple[bytes, ...]:
+    # a few texts have nothing in common often enough
+    least = max(2, min(LEAST, len(toxic) // 20))
+    news = list(_news(toxic, len(ordinary), _in_texts(found[0]), _in_texts(found[1]), least))
+    return tuple(base + _trained(news, TOXIC, k) for k in SEGMENTS)
+
+
+class Distances:
+    """Distances of windows under an ordinary dictionary and toxic ones; made once a worker."""
+
+    def __init__(self, ordinary: bytes, toxic: tuple[bytes, ...]) -> None:
         self.compressors = []
-        for d in dictionaries:
+        for d in (ordinary, *toxic):
             made = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             made.precompute_compress(level=LEVEL)
             self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False))
-        self.least = len(self.compressors[0].compress(TAIL))
-        self.window, self.room = window, room
-        self.seen: set[bytes] = set()
-        self.telling: dict[bytes, int] = {}
-
-    def of(self, text: str) -> set[bytes]:
-        words = text.encode().lower().split()
-        if self.window == 1:
-            return set(words)
-        return {b" ".join(words[i : i + self.window]) for i in range(0, len(words), self.window)}
-
-    def learn(self, windows: set[bytes]) -> None:
-        fresh = list(windows - self.seen)
-        if not fresh:
-            return
-        if len(self.seen) + len(fresh) > self.room:
-            self.seen, self.telling = set(), {}
-            fresh = list(windows)
-        data = [b" " + w + b" " + TAIL for w in fresh]
-        toxic, ordinary = (c.multi_compress_to_buffer(data, threads=0) for c in self.compressors)
-        for i, w in enumerate(fresh):
-            need = len(toxic[i])
-            saved = len(ordinary[i]) - need
-            if saved > 0:
-                saved, need = min(saved, self.SAVED - 1), min(max(need - self.least, 0), self.NEEDED - 1)
-                self.telling[w] = (saved * self.NEEDED + need) * self.LENGTH + min(len(w), self.LENGTH - 1)
-        self.seen.update(fresh)
-
-    def classes(self, text: str) -> list[int]:
-        """The classes of a text's different windows that the toxic dictionary compresses better."""
-        windows = self.of(text)
-        self.learn(windows)
-        return [self.telling[w] for w in windows & self.telling.keys()]
-
-
-def _features(classes: list[int], weights: np.ndarray) -> np.ndarray:
-    top = np.sort(weights[classes])[::-1][:TOP] if classes else np.zeros(0)
-    return np.concatenate([top, np.zeros(TOP - len(top))])
+
+    def _lengths(self, compressor: zstandard.ZstdCompressor, data: list[bytes]) -> np.ndarray:
+        made = compressor.multi_compress_to_buffer(data, threads=0)
+        return np.fromiter((len(made[i]) for i in range(len(data))), np.float64, len(data))
+
+    def of(self, data: list[bytes]) -> np.ndarray:
+        if not data:
+            return np.empty(0)
+        ordinary, *toxic = (self._lengths(c, data) for c in self.compressors)
+        return ordinary - sum(toxic) / len(toxic)
+
+
+def _features(distances: np.ndarray) -> np.ndarray:
+    top = np.zeros(TOP)
+    largest = np.sort(distances)[::-1][:TOP]
+    top[: len(largest)] = largest
+    return np.array([*top, *((distances >= x).mean() if len(distances) else 0.0 for x in NOTABLE), math.log1p(len(distances))])
+
+
+def _design(x: np.ndarray, center: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    z = (x - center) / spread
+    return np.hstack([z, z * z])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -135,35 +169,59 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return b
 
 
-def fit(toxic: list[str], ordinary: list[str], window: int = 1, least: float = 25.0, common_bytes: int = 4096) -> Model:
-    """Two dictionaries, window weights and the calibration from two lists of texts."""
-    toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
-    count = lambda texts: Counter(w for t in texts for w in set(t.encode().lower().split()))
-    a, b = count(toxic), count(ordinary)
-    marks = _marks(a, b, len(toxic), len(ordinary), least), _marks(b, a, len(ordinary), len(toxic), least)
-    telling = {w for m in marks for w in m}
-    common = [w for _, w in sorted((-n, w) for w, n in (a + b).items() if n > 1 and w not in telling)[:5000]]
-    dictionaries = tuple(_dictionary(common, m, common_bytes) for m in marks)
-    windows = Windows(dictionaries, window)
-    found = [[windows.classes(t) for t in texts] for texts in (toxic, ordinary)]
-    seen = np.zeros((2, Windows.CLASSES))
-    for k, texts in enumerate(found):
-        for classes in texts:
-            seen[k, list(set(classes))] += 1
-    odds = np.log((seen[0] + 0.5) / (len(toxic) + 1)) - np.log((seen[1] + 0.5) / (len(ordinary) + 1))
-    weights = np.where(seen[0] >= 2, np.maximum(odds, 0.0), 0.0)
-    x = np.array([_features(c, weights) for texts in found for c in texts])
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    return Model(dictionaries, weights, _logistic(x, y), window)
+def fit(toxic: list[str], ordinary: list[str], window: int = 64, false_alarms: float = 0.01) -> Model:
+    """Dictionaries and calibration from two lists of texts."""
+    texts = [sorted(set(toxic)), sorted(set(ordinary))]
+    plain = [[_plain(t) for t in x] for x in texts]
+    grams = [[np.unique(_grams(t)) for t in x] for x in plain]
+    cut = [[windows(t, window) for t in x] for x in texts]
+    base = _trained([w for x in cut[1] for w in x], ORDINARY, SEGMENTS[-1])
+
+    def made(half: slice) -> tuple[bytes, ...]:
+        return _dictionaries(plain[0][half], plain[1][half], (grams[0][half], grams[1][half]), base)
+
+    x, y = [], []
+    for own, other in ((slice(0, None, 2), slice(1, None, 2)), (slice(1, None, 2), slice(0, None, 2))):
+        distances = Distances(base + NOTHING[:TOXIC], made(own))
+        for k in (0, 1):
+            x += [_features(distances.of(w)) for w in cut[k][other]]
+            y += [1.0 - k] * len(cut[k][other])
+    x, y = np.array(x), np.array(y)
+    center, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = _design(x, center, spread)
+    b = _logistic(z, y)
+    clean = np.sort((b[0] + z @ b[1:])[y == 0])[::-1]
+    b[0] -= clean[min(int(false_alarms * len(clean)), len(clean) - 1)] + 1e-9
+    return Model(base + NOTHING[:TOXIC], made(slice(None)), center, spread, b, window)
 
 
 class Scorer:
-    def __init__(self, model: Model) -> None:
-        self.model, self.windows = model, Windows(model.dictionaries, model.window)
+    def __init__(self, model: Model, batch: int = 20_000) -> None:
+        self.model, self.batch = model, batch
+        self.distances = Distances(model.ordinary, model.toxic)
+
+    def all(self, texts: list[str]) -> list[float]:
+        """The score of each text; windows of several texts are compressed in one call."""
+        out, held, sizes = [], [], []
+        for t in texts:
+            found = windows(t, self.model.window)
+            held += found
+            sizes.append(len(found))
+            if len(held) >= self.batch:
+                out += self._scores(held, sizes)
+                held, sizes = [], []
+        return out + self._scores(held, sizes)
+
+    def _scores(self, held: list[bytes], sizes: list[int]) -> list[float]:
+        if not sizes:
+            return []
+        each = np.split(self.distances.of(held), np.cumsum(sizes)[:-1])
+        m = self.model
+        z = m.coefficients[0] + _design(np.array([_features(d) for d in each]), m.center, m.spread) @ m.coefficients[1:]
+        return (1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist()
 
     def __call__(self, text: str) -> float:
-        z = self.model.coefficients[0] + _features(self.windows.classes(text), self.model.weights) @ self.model.coefficients[1:]
-        return float(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
+        return self.all([text])[0]
 
 
 def held_out(id_col: str, remainder: int = 0) -> F.Column:
@@ -171,15 +229,17 @@ def held_out(id_col: str, remainder: int = 0) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == remainder, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 3000, window: int = 1) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 3000, window: int = 64) -> Model | None:
     """Fit on at most ``sample`` labelled rows of each class, with their whole texts."""
     d = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    by = F.xxhash64("id")
-    texts: list[list[str]] = []
-    for k in (1, 0):
-        rows = labels.filter((F.col(label) == k) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id")).distinct()
-        rows = rows.orderBy(by, "id").limit(sample)
-        texts.append([r.text for r in d.join(F.broadcast(rows), "id").select("text").toLocalIterator()])
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("y"))
+    # only labels with a document count towards the sample
+    known = known.join(d.select("id"), "id", "left_semi")
+    some = [known.filter(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (1, 0)]
+    rows = d.join(F.broadcast(some[0].unionByName(some[1])), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    texts: tuple[list[str], list[str]] = ([], [])
+    for r in rows.select("y", "text").toLocalIterator():
+        texts[r.y == 0].append(r.text)
     return fit(*texts, window=window) if all(texts) else None
 
 
@@ -187,7 +247,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: st
     """``keep`` (default: the id) and ``score``; every row of ``docs`` once."""
     def make():
         scorer = Scorer(model) if model is not None else None
-        return lambda texts: [[scorer(t or "") if scorer else 0.0 for t in texts]]
+        return lambda texts: [scorer.all([t or "" for t in texts]) if scorer else [0.0] * len(texts)]
 
     keep = keep or [id_col]
     return appended(docs.select(*dict.fromkeys([*keep, text])), text, make, "score double").select(*keep, "score")
