@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import pickle
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import repeat
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 _OWN_DIR: dict[str, str] = {}
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,26 +31,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and all is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="recordlake-")
-        spark.sparkContext.setCheckpointDir(_OWN_DIR[app])
+        context.setCheckpointDir(_OWN_DIR[app])
     return _OWN_DIR[app]
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: this cuts lineage."""
+def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: this cuts lineage.
+
+    A surrounding ``scratch`` deletes the table when it ends, unless ``keep``.
+    """
     path = f"{shared_dir(df.sparkSession)}/recordlake/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._recordlake_path = path  # type: ignore[attr-defined]
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end; what is kept must not read them any more."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for df in _SCRATCH.pop():
+            forget(df)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by ``written`` that no later plan reads."""
     path = getattr(df, "_recordlake_path", None)
@@ -86,6 +116,119 @@ def block_of(col: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(blocks)).cast("int")
 
 
+#: a bundle of messages: where it is on its way to, the smallest number of its senders, the messages
+BUNDLE = "at long, source long, data binary"
+FAN = 256
+
+
+def hops(count: int, fan: int = FAN) -> int:
+    """Shuffles that messages to ``count`` receivers take: digits of the receivers' numbers to the base ``fan``."""
+    n, reach = 1, fan
+    while reach < count:
+        n, reach = n + 1, reach * fan
+    return n
+
+
+def bundled(messages: Iterable[tuple[int, object]], source: int, count: int, fan: int = FAN) -> pd.DataFrame:
+    """What a sender emits: its messages (receiver, payload) in at most ``fan`` rows, by the leading digit of the receiver."""
+    return _bundles([(to, source, payload) for to, payload in messages], source, fan ** (hops(count, fan) - 1))
+
+
+def _bundles(messages: list[tuple[int, int, object]], source: int, width: int) -> pd.DataFrame:
+    at = defaultdict(list)
+    for m in messages:
+        at[m[0] // width].append(m)
+    data = pd.Series([pickle.dumps(x) for x in at.values()], dtype=object)
+    return pd.DataFrame({"at": pd.Series(list(at), dtype="int64"), "source": pd.Series([source] * len(at), dtype="int64"), "data": data})
+
+
+def delivered(sent: DataFrame, count: int, fan: int = FAN) -> DataFrame:
+    """Bundles carried on until ``at`` is their receiver, by one digit a shuffle.
+
+    A row for each pair of sender and receiver would be the square of the input. Here a sender emits at
+    most ``fan`` rows; a hop puts the bundles of ``fan ** level`` neighbouring senders for one prefix together,
+    which is about as much as one sender sends, and emits at most ``fan`` rows again. Messages nobody has to
+    send are no rows.
+    """
+    steps = hops(count, fan)
+    for level in range(1, steps):
+        width, many = fan ** (steps - 1 - level), fan**level
+
+        def carry(pdf: pd.DataFrame, width: int = width) -> pd.DataFrame:
+            if pdf["at"].iloc[0] < 0:  # no message: what a sender keeps for itself
+                return pdf
+            return _bundles([m for data in pdf["data"] for m in pickle.loads(data)], int(pdf["source"].min()), width)
+
+        sent = sent.groupBy("at", F.floor(F.col("source") / many)).applyInPandas(carry, BUNDLE)
+    return sent
+
+
+def opened(pdf: pd.DataFrame) -> list[tuple[int, object]]:
+    """(sender, payload) of the bundles that have reached their receiver, by sender."""
+    return sorted(((m[1], m[2]) for data in pdf["data"] for m in pickle.loads(data)), key=lambda m: m[0])
+
+
+def packed(docs: DataFrame, blocks: int, id_col: str, *values: str) -> DataFrame:
+    """``block, docs``: rows (id, values) dealt to blocks by hash, each batch's share of a block as one compressed row.
+
+    Equal rows travel as one with their number, so that a row repeated without end is a few bytes a batch.
+    """
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = zstandard.ZstdCompressor(level=1)
+        for pdf in it:
+            rows = Counter(zip(known_ids(pdf), *(pdf[f"v{k}"] for k in range(len(values))), strict=True))
+            shares: dict[int, list] = defaultdict(list)
+            for row, n in rows.items():
+                shares[xxhash.xxh3_64_intdigest(repr(row).encode()) % blocks].append((n, row))
+            yield pd.DataFrame({"block": pd.Series(list(shares), dtype="int64"), "docs": [z.compress(pickle.dumps(s)) for s in shares.values()]})
+
+    taken = docs.select(*id_columns(id_col), *(F.col(c).alias(f"v{k}") for k, c in enumerate(values)))
+    return taken.mapInPandas(run, "block long, docs binary")
+
+
+def unpacked(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """The rows of a block, (id, values), as often as they came."""
+    z = zstandard.ZstdDecompressor()
+    for data in pdf["docs"]:
+        for n, row in pickle.loads(z.decompress(data)):
+            yield from repeat(row, n)
+
+
+def exact_ids(values: list[int | None]) -> pd.api.extensions.ExtensionArray:
+    """Nullable ids without a detour over floating point, which is exact to 2^53 only."""
+    return pd.array(values, dtype="Int64")
+
+
+def known_ids(pdf: pd.DataFrame) -> list[int | None]:
+    """The ids of rows that came as ``known boolean, id long`` (0 where not known)."""
+    return [i if k else None for k, i in zip(pdf["known"].tolist(), pdf["id"].tolist(), strict=True)]
+
+
+def id_columns(id_col: str) -> tuple[Column, Column]:
+    """``known, id``: an id as two columns without nulls, which pandas keeps exact."""
+    return F.col(id_col).isNotNull().alias("known"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id")
+
+
+def dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part with keys, and where its keys are, in their order."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    first = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for p, at in zip(part[order][first].tolist(), np.split(order, first[1:]), strict=len(first) > 0):
+        yield p, at
+
+
+def let_go() -> None:
+    """Give memory that a large group has left behind back to the system; workers live on and are reused."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tokenizer_path(name: str) -> str:
     """Where the installed public vocabulary file is; every operator takes a path of its own as well."""
     import public_tokenizers

@@ -1,19 +1,24 @@
 """Language-model scoring with a weighted backoff automaton, spread over blocks of documents.
 
-Model: smoothed word bigrams. P1(w) gives unseen words the Good-Turing share n1/N and known words the
-rest in proportion to their counts; P(w|h) = (c(hw) + k P1(w)) / (c(h) + k). As an automaton: a state
-for each history, an arc for each bigram seen in training, and a failure arc of weight k / (c(h) + k) to
-the state without history. A text is read once from left to right; the state is the last word, and each
-token adds the weight of its arc, or of the failure arc and then of the word itself.
+Model: n-grams of ``order`` tokens and less, smoothed towards the next shorter history: P(w) gives unseen
+words the Good-Turing share n1/N and known words the rest in proportion to their counts, and
+P(w|h) = (c(hw) + k P(w|h')) / (c(h) + k), where h' is h without its first token. As an automaton: a state
+for each history seen in training, an arc for each word seen after it, and a failure arc of weight
+k / (c(h) + k) from the state of h to that of h'. A text is read once from left to right. The state carried
+to a token is that of its longest history that is a state; where the state has no arc for the token, its
+failure arc is followed, and so on down to the state without history, which has an arc for every word. A
+text's score is the sum of the log10 weights on its way. A state depends on the last ``order - 1`` tokens
+alone, so a block's traversals run side by side, one array operation a failure step.
 
 The automaton of the whole corpus grows with the corpus, so it is nowhere held as a whole. Documents are
-dealt to blocks by hash. A block sends its different words and bigrams, as sorted hashes with their
-training counts, to the parts of the key space; a part adds up over blocks and answers each block with
-the total counts in the order of its question; the block then builds the states and arcs that its texts
-can reach and traverses them. A hot word is one key a block, whatever its frequency. Sums over all words
-(tokens, different words, words seen once) come with the answers of all parts.
+dealt to blocks by hash. A block sends its different n-grams, as sorted hashes with their training counts, to
+the parts of the key space; a part adds up over blocks and answers each block with the total counts in the
+order of its question; the block then builds the states and arcs that its texts can reach and traverses
+them. A hot word is one key a block, whatever its frequency. Messages travel as ``common.delivered`` says.
+Sums over all words (tokens, different words, words seen once) are added up from the parts' words.
 
-Words are held as 64-bit hashes, bigrams as 56-bit ones.
+Words are held as 64-bit hashes: among n different words about n^2 / 2^65 pairs share one (0.03 at 10^9), and
+count as one word; longer n-grams as 56-bit ones. All words without training count are one symbol to the model.
 
 Defined cases: null text counts as empty (its only token is the end); rows with a null id are training
 rows; without training rows every word is unknown, train_tokens is 0 and the model gives each token
@@ -33,9 +38,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.common import block_count
+from recordlake.llm.common import BUNDLE, block_count, bundled, dealt, delivered, exact_ids, let_go, opened, packed, unpacked
 
-BIGRAM_BITS = 56
+GRAM_BITS = 56
 END = b""  # no word is empty
 FIRST = np.uint64(0x9E3779B97F4A7C15)  # the history before the first word
 
@@ -60,135 +65,182 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x7F4A7C159E3779B9))
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - BIGRAM_BITS)
+    return x ^ (x >> np.uint64(32))
 
 
 @dataclass
 class Grams:
-    """The tokens of a block's documents and its different words and bigrams in the order of their hashes."""
+    """The tokens of a block's documents, and for each length the different n-grams in the order of their hashes."""
 
     ends: np.ndarray  # by document, the number of tokens up to its end
-    word_at: np.ndarray  # by token, the number of its word
-    previous_at: np.ndarray  # the number of the word before; -1 at the start of a document
-    bigram_at: np.ndarray
-    words: np.ndarray
-    bigrams: np.ndarray
+    keys: list[np.ndarray]  # by length less one
+    at: list[np.ndarray]  # by length less one: by token, the number of the n-gram that ends there; -1 before there is one
 
 
-def grams(texts: list[str | None]) -> Grams:
+def grams(texts: list[str], order: int = 2) -> Grams:
     numbers: dict[bytes, int] = defaultdict(count().__next__)
-    tokens, ends, total = [], [], 0
-    for t in texts:
-        words = (t or "").encode().lower().split()
+    tokens, total = [], 0
+    ends = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        words = t.encode().lower().split()
         words.append(END)
         tokens.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
         total += len(words)
-        ends.append(total)
+        ends[i] = total
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-    keys, place = np.unique(hashes, return_inverse=True)
-    word_at = place[np.concatenate(tokens)]
-    ends_ = np.array(ends)
-    previous = np.empty_like(word_at)
-    previous[1:] = word_at[:-1]
-    previous[np.concatenate([[0], ends_[:-1]])] = -1
-    pairs, pair_at = np.unique((previous + 1) * len(keys) + word_at, return_inverse=True)
-    history, word = pairs // len(keys) - 1, pairs % len(keys)
-    mixed = _mix(np.where(history < 0, FIRST, keys[history]), keys[word])
-    bigrams, place = np.unique(mixed, return_inverse=True)
-    return Grams(ends_, word_at, previous, place[pair_at], keys, bigrams)
+    words, place = np.unique(hashes, return_inverse=True)
+    keys, at = [words], [place[np.concatenate(tokens)]]
+    word, begin = words[at[0]], np.concatenate([[0], ends[:-1]])
+    since = np.arange(total) - np.repeat(begin, np.diff(ends, prepend=0))  # tokens before, in the document
+    longer = word
+    for length in range(2, order + 1):
+        history = np.concatenate([[FIRST], longer[:-1]])
+        if length == 2:
+            history[begin] = FIRST
+        longer = _mix(history, word)
+        there = np.flatnonzero(since >= length - 2)
+        found, place = np.unique(longer[there] >> np.uint64(64 - GRAM_BITS), return_inverse=True)
+        keys.append(found)
+        at.append(np.full(total, -1))
+        at[-1][there] = place
+    return Grams(ends, keys, at)
+
+
+def _question(parts: int, order: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(unpacked(pdf))
+        g = grams([t for _, _, t in rows], order)
+        trained = np.repeat([not held for _, held, _ in rows], np.diff(g.ends, prepend=0))
+        messages: dict[int, list] = defaultdict(lambda: [None] * order)
+        for n, (keys, at) in enumerate(zip(g.keys, g.at, strict=True)):
+            counts = np.bincount(at[at >= 0], weights=trained[at >= 0], minlength=len(keys)).astype(np.uint64)
+            for p, here in dealt(keys, parts):
+                messages[p][n] = (squeeze(gaps(keys[here])), squeeze(counts[here]))
+        return bundled(messages.items(), int(pdf["block"].iloc[0]), parts)
+
+    return run
+
+
+def _sums(asked: list) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The total count of each key asked for, the place of each block's keys among them, and how many each block has."""
+    keys = [np.cumsum(expand(x[0]), dtype=np.uint64) for x in asked]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([expand(x[1]) for x in asked]).astype(np.float64)
+    return np.bincount(place, weights=counts, minlength=len(every)).astype(np.uint64), place, [len(k) for k in keys]
 
 
-def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (keys % np.uint64(parts)).astype(np.int64)
+def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a part's words: tokens, different words, words seen once, in training."""
+    words = [m[0] for _, m in opened(pdf) if m[0] is not None]
+    sums = _sums(words)[0] if words else np.empty(0, np.uint64)
+    return pd.DataFrame({"tokens": [int(sums.sum())], "different": [int((sums > 0).sum())], "once": [int((sums == 1).sum())]})
 
 
-def _question(parts: int):
+def _answer(blocks: int, order: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = grams(pdf["text"].tolist())
-        trained = np.repeat(~pdf["held"].to_numpy(dtype=bool), np.diff(g.ends, prepend=0))
-        rows = []
-        found = []
-        for keys, at in ((g.words, g.word_at), (g.bigrams, g.bigram_at)):
-            found.append((keys, np.bincount(at, weights=trained, minlength=len(keys)).astype(np.uint64), _parts_of(keys, parts)))
-        for p in range(parts):
-            sent = []
-            for keys, counts, part in found:
-                here = part == p
-                sent += [squeeze(gaps(keys[here])), squeeze(counts[here])]
-            rows.append((p, int(pdf["block"].iloc[0]), *sent))
-        return pd.DataFrame(rows, columns=["part", "block", "words", "word_counts", "bigrams", "bigram_counts"])
+        messages = opened(pdf)
+        out: dict[int, list] = defaultdict(lambda: [None] * order)
+        for n in range(order):
+            asked = [(block, m[n]) for block, m in messages if m[n] is not None]
+            if asked:
+                sums, place, sizes = _sums([m for _, m in asked])
+                for (block, _), mine in zip(asked, np.split(place, np.cumsum(sizes)[:-1]), strict=True):
+                    out[block][n] = squeeze(sums[mine])
+        made = bundled(out.items(), int(pdf["at"].iloc[0]), blocks)
+        del out, messages
+        let_go()
+        return made
 
     return run
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = {"block": pdf["block"], "part": pdf["part"]}
-    for name in ("word", "bigram"):
-        asked = [np.cumsum(expand(x), dtype=np.uint64) for x in pdf[f"{name}s"]]
-        keys, place = np.unique(np.concatenate(asked), return_inverse=True)
-        sums = np.bincount(place, weights=np.concatenate([expand(x) for x in pdf[f"{name}_counts"]]).astype(np.float64), minlength=len(keys)).astype(np.uint64)
-        cuts = np.cumsum([len(x) for x in asked])[:-1]
-        out[name] = [squeeze(x) for x in np.split(sums[place], cuts)]
-        if name == "word":
-            out |= {"tokens": int(sums.sum()), "different": int((sums > 0).sum()), "once": int((sums == 1).sum())}
-    return pd.DataFrame(out)
+def _counts_at(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at))
+    out[at >= 0] = counts[at[at >= 0]]
+    return out
 
 
 class BackoffAutomaton:
-    """States by word number; ``arc`` and ``fail`` are log10 weights, ``alone`` the weights without history."""
+    """The part of the automaton that some texts can reach: ``counts`` by length less one, of the n-grams of ``grams``.
 
-    def __init__(self, words: np.ndarray, firsts: int, n: int, once: int, k: float) -> None:
-        self.k, self.n = k, n
-        unseen = (once + 0.5) / (n + 1) if n else 0.5
-        self.p = np.where(words > 0, (1 - unseen) * words / max(n, 1), unseen)
-        self.words, self.firsts = words, firsts
-
-    def weights(self, history: np.ndarray, word: np.ndarray, arcs: np.ndarray) -> np.ndarray:
-        """The log10 weight of reading ``word`` in state ``history`` (-1: at the start), whose arc was seen ``arcs`` times."""
-        seen = np.where(history < 0, self.firsts, self.words[history])
-        fail = np.log10(self.k / (seen + self.k))
-        alone = np.log10(self.p[word])
-        with np.errstate(divide="ignore"):
-            arc = np.log10((arcs + self.k * self.p[word]) / (seen + self.k))
-        return np.where(arcs > 0, arc, fail + alone)
+    A state is a token's history: its length, and the n-gram that ends before the token.
+    """
 
-
-def _scored(parts: int, k: float):
+    def __init__(self, counts: list[np.ndarray], firsts: int, n: int, once: int, k: float) -> None:
+        self.counts, self.firsts, self.k = counts, firsts, k
+        unseen = (once + 0.5) / (n + 1) if n else 0.5
+        self.alone = np.where(counts[0] > 0, (1 - unseen) * counts[0] / max(n, 1), unseen)
+
+    def read(self, g: Grams) -> np.ndarray:
+        """The log10 weight of each token on the way of a traversal of each document."""
+        order, total = len(g.at), len(g.at[0])
+        seen = np.zeros((order, total))  # by length of the history: how often the state was left in training
+        arc = np.ones((order, total), bool)  # whether it has an arc for the token
+        p = np.empty((order, total))  # the smoothed probability there, which is the arc's weight
+        p[0] = self.alone[g.at[0]]
+        state = np.zeros(total, np.int64)
+        begin = np.concatenate([[0], g.ends[:-1]])
+        for length in range(1, order):
+            before = np.concatenate([[-1], g.at[length - 1][:-1]])
+            before[begin] = -1
+            seen[length] = _counts_at(self.counts[length - 1], before)
+            if length == 1:
+                seen[1][begin] = self.firsts
+            state[seen[length] > 0] = length
+            times = _counts_at(self.counts[length], g.at[length])
+            arc[length] = times > 0
+            p[length] = np.where(seen[length] > 0, (times + self.k * p[length - 1]) / (seen[length] + self.k), p[length - 1])
+        weight = np.zeros(total)
+        todo = np.arange(total)
+        while len(todo):
+            taken = arc[state[todo], todo]
+            weight[todo[taken]] += np.log10(p[state[todo[taken]], todo[taken]])
+            todo = todo[~taken]
+            weight[todo] += np.log10(self.k / (seen[state[todo], todo] + self.k))
+            state[todo] -= 1
+        return weight
+
+
+def _scored(parts: int, order: int, k: float):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        g = grams(docs["text"].tolist())
-        totals = []
-        answers = answers.sort_values("part")
-        for name, keys in (("word", g.words), ("bigram", g.bigrams)):
-            part, sums = _parts_of(keys, parts), np.zeros(len(keys), dtype=np.int64)
-            for p, x in zip(answers["part"], answers[name], strict=True):
-                sums[part == p] = expand(x)
-            totals.append(sums)
-        words, arcs = totals
-        n, v, once = (int(answers[c].sum()) for c in ("tokens", "different", "once"))
+        rows = list(unpacked(docs))
+        g = grams([t for _, _, t in rows], order)
+        counts = [np.zeros(len(keys), dtype=np.int64) for keys in g.keys]
+        got = dict(opened(answers))
+        for n, keys in enumerate(g.keys):
+            for p, here in dealt(keys, parts):
+                counts[n][here] = expand(got[p][n])
+        n, v, once = (int(answers[c].iloc[0]) for c in ("tokens", "different", "once"))
         # texts read in training = ends counted in training
-        at_end = np.searchsorted(g.words, np.uint64(xxhash.xxh3_64_intdigest(END)))
-        automaton = BackoffAutomaton(words, int(words[at_end]), n, once, k)
-        model = automaton.weights(g.previous_at, g.word_at, arcs[g.bigram_at])
-        c = words[g.word_at]
+        firsts = int(counts[0][np.searchsorted(g.keys[0], np.uint64(xxhash.xxh3_64_intdigest(END)))])
+        model = BackoffAutomaton(counts, firsts, n, once, k).read(g)
+        c = counts[0][g.at[0]]
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         starts = np.concatenate([[0], g.ends[:-1]])
         add = lambda x: np.add.reduceat(x, starts)
-        return pd.DataFrame({
-            "id": docs["id"], "held_out": docs["held"], "n_tokens": np.diff(g.ends, prepend=0), "n_known": add((c > 0).astype(np.int64)),
+        out = pd.DataFrame({
+            "id": exact_ids([i for i, _, _ in rows]), "held_out": [h for _, h, _ in rows], "n_tokens": np.diff(g.ends, prepend=0), "n_known": add((c > 0).astype(np.int64)),
             "train_tokens": n, "base_score": add(base), "score": add(model),
         })
+        del rows, g, counts, got, model, c, base
+        let_go()
+        return out
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text: str = "text", k: float = 4.0, block_bytes: int = 12_000_000) -> DataFrame:
-    """Score every text with the model of the rows where ``held_out`` is not true."""
+def score_texts(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text: str = "text", order: int = 2, k: float = 4.0, block_bytes: int = 6_000_000) -> DataFrame:
+    """Score every text with the model of the rows where ``held_out`` is not true; ``order``: the longest n-gram."""
+    if order < 1:
+        raise ValueError("order must be 1 or more")
     blocks = block_count(docs, text, block_bytes)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("text"))
-    d = d.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "held", "text")
-    question = "part int, block int, words binary, word_counts binary, bigrams binary, bigram_counts binary"
-    asked = d.groupBy("block").applyInPandas(_question(blocks), question)
-    answer = "block int, part int, word binary, tokens long, different long, once long, bigram binary"
-    answers = asked.groupBy("part").applyInPandas(_answer, answer)
+    d = docs.select(F.col(id_col).alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = packed(d, blocks, "doc", "held", "body")
+    asked = delivered(rows.groupBy("block").applyInPandas(_question(blocks, order), BUNDLE), blocks)
+    totals = asked.groupBy("at").applyInPandas(_totals, "tokens long, different long, once long")
+    sums = totals.agg(*(F.sum(c).alias(c) for c in totals.columns))
+    answers = delivered(asked.groupBy("at").applyInPandas(_answer(blocks, order), BUNDLE), blocks)
+    for c in totals.columns:
+        answers = answers.withColumn(c, sums.select(c).scalar())
     out = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return d.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(blocks, k), out).withColumnRenamed("id", id_col)
+    return rows.groupBy("block").cogroup(answers.groupBy("at")).applyInPandas(_scored(blocks, order, k), out).withColumnRenamed("id", id_col)
