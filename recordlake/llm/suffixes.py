@@ -7,16 +7,21 @@ smaller id. All strings of that length are compared over the whole corpus, exact
    strings. Equal windows have equal minimizers, so a window whose minimizer occurs in one document only
    cannot be shared. Blocks ask the parts of the hash space which of their minimizers others have too.
 2. Blocks send the runs of windows with a shared minimizer ("segments", at most 113 bytes) to the part of
-   that minimizer, each different one once with the smallest id that has it in the block.
-3. Each part joins the different segments whose minimizers have several to one text, builds the suffix array and the Burrows-Wheeler
-   transform, and finds common prefixes breadth first: level by level, an interval of suffixes is
-   extended backward by a character, and a border between neighbours gets the value of the level at
-   which it first appears. Expansion stops at 50: what has no border then are the classes of suffixes
-   that share 50 bytes or more. Each class has the smallest id of its members; blocks get these back.
+   that minimizer, each different one once with the smallest id that has it in the block. Runs of a minimizer
+   that ``hot`` blocks or more have (a ruler, a licence) are cut into single windows, which go to the part of
+   their own hash: a minimizer does not meet in one task, and equal windows need no more than be equal.
+3. Each part joins the different segments whose minimizers have several to one text, sorts its suffixes, and keeps the
+   Burrows-Wheeler transform, whose stable sort leads from a place to the place of the suffix one character
+   shorter. Common prefixes come breadth first, by increasing value: a level extends every interval of suffixes
+   backward by one character of the transform; neighbours get a border between them at the level at which
+   their shorter suffixes have come into different intervals. Expansion stops at 50: what has no border
+   then are the classes of suffixes that share 50 bytes or more. Each class has the smallest id of its
+   members; blocks get these back.
 4. Blocks remove the bytes of windows whose class has a smaller id than their document.
 
-What a passage, line or copy that a third of all documents share costs is one segment a block. Texts
-longer than a batch are cut into overlapping batches of windows; no window is lost.
+Messages travel as ``common.delivered`` says, documents as compressed batches. What a passage, line or copy
+that a third of all documents share costs is one segment a block. Texts longer than a batch are cut into
+overlapping batches of windows; no window is lost.
 
 Defined cases: null text counts as empty; texts under 50 bytes stay whole; documents with a null id stay
 whole and remove nothing; rows with equal ids do not remove each other's bytes; extra columns are dropped.
@@ -25,15 +30,18 @@ whole and remove nothing; rows with equal ids do not remove each other's bytes;
 from __future__ import annotations
 
 import hashlib
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.common import block_count
+from recordlake.llm.common import BUNDLE, block_count, bundled, dealt, delivered, exact_ids, let_go, opened, packed, unpacked
 from recordlake.llm.lm import expand, gaps, squeeze
 
 KMER, RUN, BATCH = 24, 64, 1 << 20
@@ -113,18 +121,23 @@ class Minimizers:
         return np.array([p[0] for p in pieces])[who], offset, length, m[first], at[first], joined
 
 
-def _texts(pdf: pd.DataFrame) -> list[bytes]:
-    return [(t or "").encode() if i is not None and i == i else b"" for t, i in zip(pdf["text"], pdf["id"], strict=True)]
+Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]
+
+
+def _texts(rows: list[tuple]) -> list[bytes]:
+    """The bytes to compare; a document without id takes no part."""
+    return [b"" if r[0] is None else r[1].encode() for r in rows]
+
+
+def _ids(rows: list[tuple]) -> np.ndarray:
+    return np.array([NO_ID if r[0] is None else r[0] for r in rows], np.int64)
 
 
 def _question(parts: int, least: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["block"].iloc[0])
-        found = [(r[3], r[0]) for r in Minimizers(least).runs(_texts(pdf))]
-        keys, several = _distinct(found)
-        part = (keys % np.uint64(parts)).astype(np.int64)
-        rows = [(p, block, squeeze(gaps(keys[part == p])), np.packbits(several[part == p]).tobytes()) for p in range(parts)]
-        return pd.DataFrame(rows, columns=["part", "block", "keys", "several"])
+        keys, several = _distinct([(r[3], r[0]) for r in Minimizers(least).runs(_texts(list(unpacked(pdf))))])
+        sent = ((p, (squeeze(gaps(keys[at])), np.packbits(several[at]).tobytes())) for p, at in dealt(keys, parts))
+        return bundled(sent, int(pdf["block"].iloc[0]), parts)
 
     return run
 
@@ -144,76 +157,81 @@ def _bits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys = [np.cumsum(expand(x), dtype=np.uint64) for x in pdf["keys"]]
-    several = [_bits(x, len(k)) for x, k in zip(pdf["several"], keys, strict=True)]
-    every, place, blocks = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    common = blocks > 1
-    common[place[np.concatenate(several)]] = True
-    answers = np.split(common[place], np.cumsum([len(k) for k in keys])[:-1])
-    return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "common": [np.packbits(a).tobytes() for a in answers]})
+def _shared(blocks: int, hot: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Which minimizers of each block another document has too, and which of them ``hot`` blocks have."""
+        messages = opened(pdf)
+        keys = [np.cumsum(expand(x), dtype=np.uint64) for _, (x, _) in messages]
+        several = [_bits(x, len(k)) for (_, (_, x)), k in zip(messages, keys, strict=True)]
+        _, place, many = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        common = many > 1
+        common[place[np.concatenate(several)]] = True
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        answers = zip(np.split(common[place], cuts), np.split((many >= hot)[place], cuts), strict=True)
+        return bundled(((block, tuple(np.packbits(x).tobytes() for x in a)) for (block, _), a in zip(messages, answers, strict=True)), int(pdf["at"].iloc[0]), blocks)
 
+    return run
 
-def _segments(texts: list[bytes], ids: np.ndarray, shared: np.ndarray, least: int):
-    """Segments with a minimizer in ``shared`` (sorted): contents in order of appearance, smallest id, minimizer; and where each occurs."""
+
+def _segments(runs: list[Run], ids: np.ndarray, shared: np.ndarray, hot: np.ndarray, least: int):
+    """Segments with a minimizer in ``shared`` (sorted; ``hot``: by window): contents in order of appearance, smallest id, key; and where each occurs."""
     numbers: dict[bytes, int] = {}
     smallest: list[int] = []
     key: list[int] = []
     where = []
-    for doc, offset, length, m, at, joined in Minimizers(least).runs(texts):
+    for doc, offset, length, m, at, joined in runs:
         place = np.minimum(np.searchsorted(shared, m), max(len(shared) - 1, 0))
         hit = np.flatnonzero(shared[place] == m) if len(shared) else np.empty(0, int)
-        number = np.empty(len(hit), np.int64)
-        begin, end = at[hit].tolist(), (at[hit] + length[hit] + least - 1).tolist()
-        owner, hashes = ids[doc[hit]].tolist(), m[hit].tolist()
-        for i, (b, e, o) in enumerate(zip(begin, end, owner, strict=True)):
+        single = hot[place[hit]] if len(shared) else np.empty(0, bool)
+        # a hot run becomes as many runs of one window
+        times = np.where(single, length[hit], 1)
+        one = np.repeat(hit, times)
+        step = np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times)
+        single, size = np.repeat(single, times), np.where(np.repeat(single, times), 1, length[one])
+        number = np.empty(len(one), np.int64)
+        begin = at[one] + step
+        end = begin + size + least - 1
+        for i, (b, e, o, k, w) in enumerate(zip(begin.tolist(), end.tolist(), ids[doc[one]].tolist(), m[one].tolist(), single.tolist(), strict=True)):
             content = joined[b:e]
             n = numbers.get(content)
             if n is None:
                 n = numbers[content] = len(smallest)
                 smallest.append(o)
-                key.append(hashes[i])
+                key.append(xxhash.xxh3_64_intdigest(content) if w else k)
             elif o < smallest[n]:
                 smallest[n] = o
             number[i] = n
-        where.append((doc[hit], offset[hit], length[hit], number))
+        where.append((doc[one], offset[one] + step, size, number))
     return list(numbers), np.array(smallest, np.int64), np.array(key, np.uint64), where
 
 
-def _collect_shared(texts: list[bytes], answers: pd.DataFrame, parts: int, least: int) -> np.ndarray:
-    keys, _ = _distinct([(r[3], r[0]) for r in Minimizers(least).runs(texts)])
-    part, common = (keys % np.uint64(parts)).astype(np.int64), np.zeros(len(keys), bool)
-    for p, bits in zip(answers["part"], answers["common"], strict=True):
-        here = part == p
-        common[here] = _bits(bits, int(here.sum()))
-    return keys[common]
-
-
-def _ids(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf["id"].astype("Int64").fillna(NO_ID).to_numpy(np.int64)
-
-
-def _in_part(part: np.ndarray, p: int, key: np.ndarray) -> np.ndarray:
-    """The segments of one part by minimizer: the order in which a block sends them and gets answers."""
-    here = np.flatnonzero(part == p)
-    return here[np.argsort(key[here], kind="stable")]
+def _by_part(key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The segments of each part by key: the order in which a block sends them and gets answers."""
+    for p, at in dealt(key, parts):
+        yield p, at[np.argsort(key[at], kind="stable")]
 
 
 def _send(parts: int, least: int):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        block, texts = int(docs["block"].iloc[0]), _texts(docs)
-        shared = _collect_shared(texts, answers, parts, least)
-        contents, smallest, key, _ = _segments(texts, _ids(docs), shared, least)
-        part = (key % np.uint64(parts)).astype(np.int64)
+        block, rows = int(docs["block"].iloc[0]), list(unpacked(docs))
+        runs = list(Minimizers(least).runs(_texts(rows)))
+        keys, _ = _distinct([(r[3], r[0]) for r in runs])
+        common, hot, got = np.zeros(len(keys), bool), np.zeros(len(keys), bool), dict(opened(answers))
+        for p, at in dealt(keys, parts):
+            common[at], hot[at] = (_bits(x, len(at)) for x in got[p])
+        shared, hot = keys[common], hot[common]
+        contents, smallest, key, _ = _segments(runs, _ids(rows), shared, hot, least)
         z = zstandard.ZstdCompressor(level=1)
+        sent = []
+        for p, at in _by_part(key, parts):
+            mine = [contents[i] for i in at]
+            sent.append((p, (z.compress(b"".join(mine)), squeeze(np.array([len(c) for c in mine], np.uint64)), squeeze(gaps(key[at])), squeeze(smallest[at].astype(np.uint64)))))
         # the block's own note, handed through by the next step
-        rows = [(-1 - block, block, b"", b"", squeeze(gaps(shared)), b"")]
-        for p in range(parts):
-            here = _in_part(part, p, key)
-            mine = [contents[i] for i in here]
-            sizes = np.array([len(c) for c in mine], np.uint64)
-            rows.append((p, block, z.compress(b"".join(mine)), squeeze(sizes), squeeze(gaps(key[here])), squeeze(smallest[here].astype(np.uint64))))
-        return pd.DataFrame(rows, columns=["part", "block", "bytes", "sizes", "keys", "smallest"])
+        note = pickle.dumps((squeeze(gaps(shared)), np.packbits(hot).tobytes()))
+        made = pd.concat([pd.DataFrame({"at": [-1 - block], "source": [block], "data": [note]}), bundled(sent, block, parts)])
+        del rows, runs, contents, sent
+        let_go()
+        return made
 
     return run
 
@@ -250,11 +268,10 @@ def prefix_classes(text: np.ndarray, left: np.ndarray, least: int) -> tuple[np.n
     """
     n = len(text)
     order = suffix_order(text, left)
-    place = np.empty(n, np.int32)
-    place[order] = np.arange(n, dtype=np.int32)
     first = text[order]
-    # occurrence that becomes place j when it is extended backward: the place of the suffix one byte shorter
-    source = place[np.minimum(order + 1, n - 1)]
+    transform = text[order - 1]
+    # the k-th occurrence of a character in the transform becomes the k-th suffix that begins with it
+    source = np.argsort(transform, kind="stable").astype(np.int32)
     border = np.ones(n, bool)
     border[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
     active = np.flatnonzero(~border)
@@ -294,16 +311,16 @@ def _smallest_of_classes(contents: list[bytes], smallest: np.ndarray, least: int
     return best[left > least]
 
 
-def _classes(least: int):
+def _classes(least: int, blocks: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["part"].iloc[0] < 0:
-            return pd.DataFrame({"block": pdf["block"], "part": -1, "answer": pdf["keys"]})
+        if pdf["at"].iloc[0] < 0:
+            return pdf
         numbers: dict[bytes, int] = {}
         smallest: list[int] = []
         keys: list[int] = []
         asked = []
         z = zstandard.ZstdDecompressor()
-        for data, sizes, key, ids in zip(pdf["bytes"], pdf["sizes"], pdf["keys"], pdf["smallest"], strict=True):
+        for block, (data, sizes, key, ids) in opened(pdf):
             at, mine, data = 0, [], z.decompress(data)
             for size, m, o in zip(expand(sizes).tolist(), np.cumsum(expand(key), dtype=np.uint64).tolist(), expand(ids).astype(np.int64).tolist(), strict=True):
                 content = data[at : at + size]
@@ -315,9 +332,7 @@ def _classes(least: int):
                 elif o < smallest[n]:
                     smallest[n] = o
                 mine.append(n)
-            asked.append(np.array(mine, np.int64))
-        if not smallest:
-            return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "answer": [squeeze(np.empty(0, np.uint64))] * len(pdf)})
+            asked.append((block, np.array(mine, np.int64)))
         windows = np.array([len(c) for c in numbers]) - least + 1
         starts = np.cumsum(windows) - windows
         best = np.repeat(np.array(smallest, np.int64), windows)
@@ -327,30 +342,32 @@ def _classes(least: int):
         if len(compared):
             every = list(numbers)
             best[_spread(starts, windows, compared)] = _smallest_of_classes([every[i] for i in compared], np.array(smallest, np.int64)[compared], least)
-        answers = [squeeze(best[_spread(starts, windows, mine)].astype(np.uint64)) for mine in asked]
-        return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "answer": answers})
+        part = int(pdf["at"].iloc[0])
+        made = bundled(((block, squeeze(best[_spread(starts, windows, mine)].astype(np.uint64))) for block, mine in asked), part, blocks)
+        del numbers, asked, best
+        let_go()
+        return made
 
     return run
 
 
 def _removed(parts: int, least: int, give_text: bool, carry: tuple[str, ...] = ()):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        texts, ids = _texts(docs), _ids(docs)
-        whole = [(t or "").encode() for t in docs["text"]]
-        got = dict(zip(answers["part"], answers["answer"], strict=True))
-        shared = np.cumsum(expand(got[-1]), dtype=np.uint64) if -1 in got else np.empty(0, np.uint64)
-        contents, _, key, where = _segments(texts, ids, shared, least)
+        rows = list(unpacked(docs))
+        ids, whole = _ids(rows), [r[1].encode() for r in rows]
+        note = answers["at"] < 0
+        gapped, bits = pickle.loads(answers["data"][note].iloc[0])
+        shared = np.cumsum(expand(gapped), dtype=np.uint64)
+        got = dict(opened(answers[~note]))
+        contents, _, key, where = _segments(list(Minimizers(least).runs(_texts(rows))), ids, shared, _bits(bits, len(shared)), least)
         windows = np.array([len(c) for c in contents], np.int64) - least + 1
         del contents
-        part = (key % np.uint64(parts)).astype(np.int64)
         starts = np.cumsum(windows) - windows
         best = np.empty(int(windows.sum()), np.int64)
-        for p, data in got.items():
-            if p >= 0:
-                at = _spread(starts, windows, _in_part(part, p, key))
-                best[at] = expand(data).astype(np.int64)
+        for p, at in _by_part(key, parts):
+            best[_spread(starts, windows, at)] = expand(got[p]).astype(np.int64)
         # windows to remove, as changes of the number of covering windows
-        hits: dict[int, list[np.ndarray]] = {}
+        hits: dict[int, list[np.ndarray]] = defaultdict(list)
         for doc, offset, length, number in where:
             at = _spread(starts, windows, number)
             owner = np.repeat(doc, length)
@@ -359,8 +376,8 @@ def _removed(parts: int, least: int, give_text: bool, carry: tuple[str, ...] = (
             owner, begin = owner[hit], begin[hit]
             if len(owner):
                 cut = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-                for piece, who in zip(np.split(begin, cut), owner[np.concatenate([[0], cut])], strict=True):
-                    hits.setdefault(int(who), []).append(piece)
+                for piece, who in zip(np.split(begin, cut), owner[np.concatenate([[0], cut])].tolist(), strict=True):
+                    hits[who].append(piece)
         out = []
         for k, data in enumerate(whole):
             cover = np.zeros(len(data) + 1, np.int32)
@@ -371,18 +388,22 @@ def _removed(parts: int, least: int, give_text: bool, carry: tuple[str, ...] = (
             gone = np.cumsum(cover[:-1]) > 0
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
-            row = (docs["id"].iloc[k], len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+            row = (len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
             if give_text:
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 row += (kept.decode("utf-8", "ignore"), edge.tolist())
-            out.append((*row, *(docs[c].iloc[k] for c in carry)))
-        columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "edges"] if give_text else []), *carry]
-        return pd.DataFrame(out, columns=columns)
+            out.append((*row, *rows[k][2:]))
+        columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "edges"] if give_text else []), *carry]
+        made = pd.DataFrame(out, columns=columns)
+        made.insert(0, "id", exact_ids([r[0] for r in rows]))
+        del rows, whole, where, best, hits, out
+        let_go()
+        return made
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 50, block_bytes: int = 12_000_000, give_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 50, block_bytes: int = 6_000_000, hot: int = 256, give_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
     With ``give_text`` also ``kept`` (bytes of characters cut in two are left out) and ``edges``, the removed
@@ -391,12 +412,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if least < KMER:
         raise ValueError(f"least must be {KMER} or more")
     parts = block_count(docs, text, block_bytes)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(c).cast("string").alias(c) for c in carry))
-    d = d.select(F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int").alias("block"), "id", "text", *carry)
-    asked = d.groupBy("block").applyInPandas(_question(parts, least), "part int, block int, keys binary, several binary")
-    common = asked.groupBy("part").applyInPandas(_shared, "block int, part int, common binary")
-    sent = d.groupBy("block").cogroup(common.groupBy("block")).applyInPandas(_send(parts, least), "part int, block int, bytes binary, sizes binary, keys binary, smallest binary")
-    classes = sent.groupBy("part").applyInPandas(_classes(least), "block int, part int, answer binary")
+    d = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"), *(F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(carry)))
+    rows = packed(d, parts, "doc", "body", *(f"c{k}" for k in range(len(carry))))
+    by_block, by_receiver = rows.groupBy("block"), lambda df: df.groupBy("at")
+    asked = delivered(by_block.applyInPandas(_question(parts, least), BUNDLE), parts)
+    common = delivered(by_receiver(asked).applyInPandas(_shared(parts, hot), BUNDLE), parts)
+    sent = delivered(by_block.cogroup(by_receiver(common)).applyInPandas(_send(parts, least), BUNDLE), parts)
+    classes = delivered(by_receiver(sent).applyInPandas(_classes(least, parts), BUNDLE), parts)
+    # a block's note and the answers to it
+    classes = classes.withColumn("block", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
     kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, edges array<long>" if give_text else "") + "".join(f", `{c}` string" for c in carry)
-    out = d.groupBy("block").cogroup(classes.groupBy("block")).applyInPandas(_removed(parts, least, give_text, carry), kind)
+    out = by_block.cogroup(classes.groupBy("block")).applyInPandas(_removed(parts, least, give_text, carry), kind)
     return out.withColumnRenamed("id", id_col)
