@@ -1,24 +1,34 @@
 """Personal data: detection and keyed surrogates.
 
 Detected: e-mail addresses, phone numbers, payment cards, IPv4 addresses, social security numbers, IBANs,
-access keys, long hexadecimal secrets, and person names (after a title, or one of the given names of the
-surrogate pool before a capitalised one; other names stay). A name counts as its parts, so that "Anna Lee"
-and "Ms Lee" keep their common part; a part found in a document is replaced wherever the document has it.
-
+access keys, long hexadecimal secrets, and person names. A name is found after a title ("Dr Kim Lee"), after
+words that announce one ("my name is", "signed by", "Name:"), before an address in angle brackets, where its
+words are the parts of an e-mail address in the same document, or where one of the given names of the surrogate
+pool stands before a capitalised word. A name without any of these stays: nothing here knows all names. A name
+counts as its parts, so that "Anna Lee" and "Ms Lee" keep their common part; a part found in a document is
+replaced wherever the document has it.
+
+An entity is a kind and a normal form; titles are not part of it, so "Dr Kim Lee" and "Ms Kim Lee" are one person.
 A surrogate keeps type and format. All but name parts run through a keyed permutation of the strings of
 their shape (a Feistel network over mixed radices: a digit stays a digit, a capital a capital, signs stay
 where they are, letters keep script and case), with check digits made anew; so different originals of a
-shape have different surrogates. What that leaves as it is gets a keyed draw instead. Name parts are drawn by a keyed hash from lists by gender and script, and from composed
-names after that. The text as found is spelled like the mention: case and separators are the mention's.
-
-Collision checks run over all entities of the corpus: an entity whose surrogate is a real entity or is
-another entity's surrogate too takes its next surrogate, until no clash is left; after some attempts the
-next is longer than the entity, as short shapes may have no free string. The entities with other
-than their first surrogate are joined to their documents by id; everything else needs no join.
-
-Defined cases: null text stays null; empty text has no entities; rows with equal ids get the union of
-their changes, which are the same for an entity everywhere; a null id gets first surrogates only; columns
-other than the text are kept as they are.
+shape have different surrogates. What that leaves as it is gets a keyed draw instead. The domain of an e-mail
+address can name an employer: it gets a surrogate too, the same in all its addresses, unless it is a public mail
+provider's or reserved for examples; the top level stays. Latin and Cyrillic name parts are drawn by a keyed hash
+from lists by script and gender, and from composed names after that; those in other scripts are permuted letter
+by letter in their script. The gender is that of the given name or of the titles it has anywhere in the corpus; a Cyrillic
+family name that ends in a vowel of the feminine gets one that does. The text as found is spelled like the
+mention: case and separators are the mention's.
+
+Collision checks run over all entities of the corpus: an entity whose surrogate is a real entity, is another
+entity's surrogate too, or is of the wrong gender takes its next surrogate, until no clash is left; after some
+attempts the next is longer than the entity, as short shapes may have no free string. A round handles what is
+still open, against all that is settled. The entities with other than their first surrogate are joined to
+the texts that have them, by a 128-bit hash of the text; everything else needs no join.
+
+Defined cases: null text stays null; empty text has no entities; null and repeated ids do not matter, as nothing is
+joined by id; columns other than the text are kept as they are, except an ``n_entities``, which is replaced. The key
+must not be empty.
 """
 
 from __future__ import annotations
@@ -31,12 +41,13 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.common import appended, written
+from recordlake.llm.common import appended, forget, id_columns, scratch, written
 
 #: fixed values: given names by script and gender, family names by script
 GIVEN = {
@@ -49,6 +60,11 @@ FAMILY = {
     "latin": "Abel Brandt Carter Duval Ferrer Graham Hansen Keller Lorenz Moreno Novak Olsen Porter Romero Sander Thomas Vidal Weber".split(),
     "cyrillic": "Белов Волков Громов Зайцев Козлов Лебедев Морозов Орлов Соколов Титов".split(),
 }
+#: fixed values: words that announce a name
+ANNOUNCED = ("my name is", "name is", "name:", "signed by", "signed,", "sincerely,", "regards,", "author:", "from:", "contact:", "attn:", "mi nombre es", "me llamo", "je m'appelle", "nom :", "nom:", "nombre:", "ich heiße", "mein name ist", "gezeichnet:", "меня зовут", "имя:")
+#: fixed values: domains that tell nothing of an employer
+PROVIDERS = frozenset("gmail.com googlemail.com yahoo.com outlook.com hotmail.com live.com icloud.com aol.com gmx.de gmx.net web.de mail.ru yandex.ru proton.me protonmail.com orange.fr free.fr".split())
+RESERVED = ("example", "test", "invalid", "localhost")
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Madame": "f", "Mme": "f", "Dr": "u", "Prof": "u", "Господин": "m", "Госпожа": "f"}
 SYLLABLES = {"latin": "ba den far gol hem kir lan mor nel por ras sen tul var wen zim".split(), "cyrillic": "ба вен гор дар зим кол лан мор нел пор рас тул".split()}
 
@@ -64,8 +80,13 @@ KEY = re.compile(r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?!\w)")
 NAME = re.compile(r"\b(?:(" + "|".join(TITLES) + r")\.? )?((?:[^\W\d_]|[-'])+)(?: ((?:[^\W\d_]|[-'])+))?")
 GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
+TOLD = {n.casefold(): g for n, g in GENDER.items()}
 LONGEST = 37  # characters of a card or phone at most
 _WORD = re.compile(r"\w")
+_ANNOUNCED = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, ANNOUNCED)) + r")\s+", re.IGNORECASE)
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: one or two capitalised words before an address in angle brackets
+_SHOWN = re.compile(r"(?<!\w)([^\W\d_][\w'-]*(?: [^\W\d_][\w'-]*)?) <(?=[^\s<>]+@)")
 _TITLE = re.compile(r"\b(?:" + "|".join(TITLES) + r")\b")
 
 
@@ -88,35 +109,61 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+@lru_cache(maxsize=4096)
 def _script(word: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
+    """``latin``, ``cyrillic``, or the script's name as the character names have it."""
+    for c in word:
+        if c.isalpha():
+            return unicodedata.name(c, "other").split(" ")[0].lower()
+    return "other"
 
 
-def _name_parts(text: str) -> Iterator[Mention]:
+def _starts(text: str) -> set[int]:
+    """Where a name may begin."""
     spots = {m.start() for m in _TITLE.finditer(text)} if any(t in text for t in TITLES) else set()
-    for given in set(re.findall(r"[^\W\d_]+", text)) & GENDER.keys() if len(text) else ():
+    if any(c in text.casefold() for c in ANNOUNCED):
+        spots |= {m.end() for m in _ANNOUNCED.finditer(text)}
+    if "@" in text:
+        if " <" in text:
+            spots |= {m.start(1) for m in _SHOWN.finditer(text)}
+        # the words of first.last@domain, where they stand side by side
+        for m in EMAIL.finditer(text):
+            parts = _LETTERS.findall(m[0].rpartition("@")[0])
+            if len(parts) == 2 and min(map(len, parts)) > 1:
+                spots |= {x.start() for x in re.finditer(rf"(?<![\w@.]){parts[0]} {parts[1]}(?![\w@])", text, re.IGNORECASE)}
+    return spots
+
+
+def _name_parts(text: str) -> Iterator[tuple[Mention, str]]:
+    """Name parts, each with the gender that its given name or title tells."""
+    sure = _starts(text)
+    spots = set(sure)
+    for given in GENDER.keys() & set(_LETTERS.findall(text)):
         spots |= {m.start() for m in re.finditer(rf"\b{given}\b", text)}
     done = -1
     for at in sorted(spots):
         if at <= done or not (m := NAME.match(text, at)):
             continue
         title, one, two = m.groups()
-        first_up, second_up = one[:1].isupper(), bool(two) and two[:1].isupper()
-        if title and not first_up or not title and not second_up or one in TITLES:
+        first_up, second_up = _capital(one), bool(two) and _capital(two) and two not in TITLES
+        if not first_up or one in TITLES or at not in sure and not second_up:
             continue
         gender = GENDER.get(one) or TITLES.get(title or "", "u")
         if second_up:
-            yield Mention(m.start(2), m.end(2), f"given-{gender}-{_script(one)}", one, one.casefold())
-            yield Mention(m.start(3), m.end(3), f"family-{_script(two)}", two, two.casefold())
+            yield Mention(m.start(2), m.end(2), f"given-{_script(one)}", one, one.casefold()), gender
+            yield Mention(m.start(3), m.end(3), f"family-{_script(two)}", two, two.casefold()), gender
             done = m.end(3)
-        elif one in GENDER:
-            yield Mention(m.start(2), m.end(2), f"given-{gender}-{_script(one)}", one, one.casefold())
-            done = m.end(2)
         else:
-            yield Mention(m.start(2), m.end(2), f"family-{_script(one)}", one, one.casefold())
+            kind = "given" if one in GENDER else "family"
+            yield Mention(m.start(2), m.end(2), f"{kind}-{_script(one)}", one, one.casefold()), gender
             done = m.end(2)
 
 
+def _capital(word: str) -> bool:
+    """A capital first, or a letter of a script without capitals."""
+    return word[:1].isupper() or word[:1].lower() == word[:1].upper()
+
+
 def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Of spans (start, end, digits) those apart from each other that have most digits in all; of equals the fewest."""
     spans = sorted(spans, key=lambda x: (x[1], x[0]))
@@ -169,8 +216,13 @@ def _numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[Mention]:
 
 def detect(text: str | None) -> list[Mention]:
     """The mentions of a text, in order and apart from each other."""
+    return detect_with_gender(text)[0]
+
+
+def detect_with_gender(text: str | None) -> tuple[list[Mention], dict[tuple[str, str], str]]:
+    """The mentions, and the gender told of name parts by (kind, normal form): f, m or u."""
     if not text:
-        return []
+        return [], {}
     found: list[Mention] = []
     if "@" in text:
         found += [Mention(m.start(), m.end(), "email", m[0], m[0].lower()) for m in EMAIL.finditer(text)]
@@ -182,7 +234,11 @@ def detect(text: str | None) -> list[Mention]:
         if _iban_check(bare[:2], bare[4:]) == bare[2:4]:
             found.append(Mention(m.start(), m.end(), "iban", m[0], bare))
     found += _numbers(text, [(m.start, m.end) for m in found])
-    names = list(_name_parts(text))
+    told = list(_name_parts(text))
+    names = [m for m, _ in told]
+    genders: dict[tuple[str, str], str] = {}
+    for m, g in told:  # f before m before u
+        genders[m.kind, m.norm] = min(g, genders.get((m.kind, m.norm), "u"))
     found += names
     # a part stands for the same person wherever it is in the document, without a title too
     if bare := {m.text: m.kind for m in reversed(names) if len(m.text) > 1}:
@@ -196,7 +252,7 @@ def detect(text: str | None) -> list[Mention]:
         if all(m.end <= a or m.start >= b for a, b in used):
             taken.append(m)
             used.append((m.start, m.end))
-    return sorted(taken, key=lambda x: x.start)
+    return sorted(taken, key=lambda x: x.start), genders
 
 
 #: attempts within an entity's own shape; later ones are from wider and wider shapes, which no corpus fills
@@ -257,11 +313,9 @@ class Surrogates:
     def _once(self, kind: str, norm: str) -> str:
         if kind == "email":
             local, _, domain = norm.rpartition("@")
-            name, _, top = domain.rpartition(".")
-            head, dot, zone = name.rpartition(".")
-            # the registered name and the top level tell the kind of address; what is before them is replaced
+            head, dot, zone, top = self._domain(domain)
             made = self._shape(kind, f"{local}@{head}" if dot else local)
-            return f"{made}{dot}{zone}.{top}" if dot else f"{made}@{name}.{top}"
+            return f"{made}{dot}{zone}.{top}" if dot else f"{made}@{zone}.{top}"
         if kind == "ip":
             octets = norm
             while True:  # walk on to the next address that is written alike: no octet of 0 or over 254
@@ -290,18 +344,43 @@ class Surrogates:
             return norm[:cut] + self.permute(kind, norm[cut:], ["0123456789"] * 10)
         return self.permute(kind, norm, ["0123456789"] * len(norm))
 
+    def _domain(self, domain: str) -> tuple[str, str, str, str]:
+        """What is before the registered name, its dot, the registered name's surrogate, the top level."""
+        name, _, top = domain.rpartition(".")
+        head, dot, zone = name.rpartition(".")
+        if f"{zone}.{top}" not in PROVIDERS and zone not in RESERVED and top not in RESERVED:
+            zone = self._shape("domain", zone)
+        return head, dot, zone, top
+
     def _name(self, kind: str, norm: str, attempt: int) -> str:
-        what, *rest = kind.split("-")
-        script = rest[-1]
-        pool = FAMILY[script] if what == "family" else [n for (s, g), names in GIVEN.items() if s == script and rest[0] in (g, "u") for n in names]
-        if attempt < 4:
-            return pool[self._draw(kind, norm, attempt) % len(pool)].casefold()
-        drawn, parts = self._draw(kind, norm, attempt), SYLLABLES[script]
-        made = ""
-        for _ in range(3 + attempt // 8):
-            drawn, at = divmod(drawn, len(parts))
-            made += parts[at]
-        return made + {"f": "a" if script == "latin" else "а"}.get(rest[0] if what == "given" else "", "")
+        what, script = kind.split("-")
+        if script not in SYLLABLES:
+            # letters of the same script; a longer one where the shape is full
+            made = norm + norm[-1:] * (max(attempt - WALKS, 0) // 4)
+            for _ in range(attempt + 1):
+                made = self._shape(kind, made)
+            return made
+        feminine = "a" if script == "latin" else "а"
+        told = TOLD.get(norm, "u")
+        if attempt < 8:
+            pool = FAMILY[script] if what == "family" else [n for (s, g), names in GIVEN.items() if s == script and told in (g, "u") for n in names]
+            made = pool[self._draw(kind, norm, attempt) % len(pool)].casefold()
+        else:
+            drawn, made = self._draw(kind, norm, attempt), ""
+            for _ in range(3 + attempt // 16):
+                drawn, at = divmod(drawn, len(SYLLABLES[script]))
+                made += SYLLABLES[script][at]
+            # composed given names of even draws are feminine
+            made += feminine if what == "given" and (told == "f" or told == "u" and drawn % 2 == 0) else ""
+        return made + feminine if what == "family" and script == "cyrillic" and norm.endswith(("ва", "на", "ая")) else made
+
+    @staticmethod
+    def gender(kind: str, made: str) -> str:
+        """The gender that a given name's surrogate shows; u where it shows none."""
+        what, _, script = kind.partition("-")
+        if what != "given" or script not in SYLLABLES:
+            return "u"
+        return TOLD.get(made) or ("f" if made.endswith(("a", "а")) else "m")
 
     def _drawn(self, kind: str, norm: str, attempt: int) -> str:
         """A keyed draw for what its shape cannot give a surrogate: a letter more in an e-mail address, and the longer the later."""
@@ -310,13 +389,12 @@ class Surrogates:
         fresh = lambda n, a="0123456789": "".join(draw(i, a) for i in range(n + more))
         if kind == "email":
             local, _, domain = norm.rpartition("@")
-            name, _, top = domain.rpartition(".")
-            head, dot, zone = name.rpartition(".")
+            head, dot, zone, top = self._domain(domain)
             before = f"{local}@{head}" if dot else local
             made = "".join(draw(i, CLASSES[0] if c.isdigit() else CLASSES[1]) if c.isalnum() else c for i, c in enumerate(before))
             local, _, head = made.partition("@")
             local += "".join(draw(-1 - i, CLASSES[1]) for i in range(1 + more))
-            return f"{local}@{head}{dot}{zone}.{top}" if dot else f"{local}@{name}.{top}"
+            return f"{local}@{head}{dot}{zone}.{top}" if dot else f"{local}@{zone}.{top}"
         if kind == "ip":
             return ".".join(str(1 + self._draw("drawn", kind, norm, attempt, i) % 254) for i in range(4))
         if kind == "card":
@@ -335,8 +413,7 @@ class Surrogates:
     def of(self, kind: str, norm: str, attempt: int = 0) -> str:
         """The ``attempt``-th surrogate of an entity, never the entity itself."""
         if "-" in kind:
-            made = self._name(kind, norm, attempt)
-            return made if made != norm else self._name(kind, norm, attempt + 101)
+            return self._another(kind, norm, attempt)
         out = norm
         if attempt < WALKS:
             for _ in range(attempt + 1):
@@ -345,6 +422,17 @@ class Surrogates:
             out, attempt = self._drawn(kind, norm, attempt), attempt + 101
         return out
 
+    def _another(self, kind: str, norm: str, attempt: int) -> str:
+        """The drawn name, or where that is the entity itself the next of a row of draws of the same length."""
+        made, again = self._name(kind, norm, attempt), 0
+        while made == norm:
+            again += 1
+            if kind.split("-")[1] not in SYLLABLES:
+                made += norm[-1:]
+            else:
+                made = self._name(kind, f"{again}\x1f{norm}", attempt)
+        return made
+
     @staticmethod
     def spelled(made: str, mention: Mention) -> str:
         """The surrogate in the mention's format: its separators, its case."""
@@ -367,53 +455,86 @@ def replace(text: str, mentions: list[Mention], surrogates: Surrogates, attempts
     return "".join([*out, text[at:]])
 
 
-def entities(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, kind, norm``: the different entities of each document, in one pass over the texts."""
+TYPE = "kind string, norm string"
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [(i, k, n) for i, t in zip(pdf["id"], pdf["text"], strict=True) for k, n in sorted({(m.kind, m.norm) for m in detect(t)})]
-            yield pd.DataFrame(rows, columns=["id", "kind", "norm"]).astype({"id": "Int64"})
 
-    taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return taken.mapInPandas(run, "id long, kind string, norm string")
+def _read_entities(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        rows = []
+        for at, t in zip(pdf.drop(columns="text").itertuples(index=False, name=None), pdf["text"], strict=True):
+            mentions, genders = detect_with_gender(t)
+            rows += [(*at, k, n, genders.get((k, n), "u")) for k, n in sorted({(m.kind, m.norm) for m in mentions})]
+        yield pd.DataFrame(rows, columns=[*pdf.columns.drop("text"), "kind", "norm", "gender"])
+
+
+def entities(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, kind, norm, gender``: the different entities of each document, in one pass over the texts."""
+    taken = docs.select(*id_columns(id_col), F.col(text).alias("text"))
+    found = taken.mapInPandas(_read_entities, f"known boolean, id long, {TYPE}, gender string")
+    return found.select(F.when(F.col("known"), F.col("id")).alias("id"), "kind", "norm", "gender")
 
 
 def assignments(found: DataFrame, key: bytes) -> DataFrame:
-    """``kind, norm, made, attempt``: different surrogates for different entities, none of them a real entity."""
+    """``kind, norm, made, attempt``: different surrogates for different entities, none of them a real entity.
+
+    ``found``: ``kind, norm`` and ``gender`` (f, m, u), rows in any number for an entity.
+    """
 
     def propose(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         surrogates = Surrogates(key)
         for pdf in it:
-            made = [surrogates.of(*x) for x in zip(pdf["kind"], pdf["norm"], pdf["attempt"], strict=True)]
-            yield pdf[["kind", "norm", "attempt"]].assign(made=made)
-
-    kind = "kind string, norm string, attempt int, made string"
-    each = found.select("kind", "norm").distinct()
-    fixed = written(each.withColumn("attempt", F.lit(0)).select("kind", "norm", "attempt").mapInPandas(propose, kind), "surrogates")
-    real = fixed.select(F.col("norm").alias("made"), F.regexp_replace("kind", "-[fmu]-", "-").alias("type")).distinct()
+            made, fits = [], []
+            for kind, norm, gender, attempt in zip(pdf["kind"], pdf["norm"], pdf["gender"], pdf["attempt"], strict=True):
+                made.append(surrogates.of(kind, norm, attempt))
+                fits.append("u" in (gender, shown := surrogates.gender(kind, made[-1])) or gender == shown)
+            yield pdf.assign(made=made, fits=fits)
+
+    each = found.groupBy("kind", "norm").agg(F.min("gender").alias("gender")).withColumn("attempt", F.lit(0))
+    each = written(each, "entities")
+    real = each.select("kind", F.col("norm").alias("made"))
+    proposed = f"{TYPE}, gender string, attempt int, made string, fits boolean"
+    settled, open_ = None, each
     while True:  # wider shapes end it
-        typed = fixed.withColumn("type", F.regexp_replace("kind", "-[fmu]-", "-"))
-        # the smallest entity with a surrogate keeps it, unless it is a real one
-        first = typed.groupBy("type", "made").agg(F.min(F.struct("kind", "norm")).alias("owner"), F.count(F.lit(1)).alias("n"))
-        clash = first.join(real.withColumn("real", F.lit(True)), ["type", "made"], "left").filter((F.col("n") > 1) | F.col("real"))
-        again = typed.join(clash, ["type", "made"]).filter(F.col("real") | (F.struct("kind", "norm") != F.col("owner")))
-        again = written(again.select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), "clashes")
-        if again.isEmpty():
-            break
-        moved = again.mapInPandas(propose, kind)
-        fixed = written(fixed.join(again.select("kind", "norm"), ["kind", "norm"], "left_anti").unionByName(moved), "surrogates")
-    return fixed
-
-
-def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text's entities replaced, and ``n_entities`` (mentions replaced)."""
-    found = written(entities(docs, id_col, text), "entities")
+        now = written(open_.select("kind", "norm", "gender", "attempt").mapInPandas(propose, proposed), "proposed")
+        free = now.filter("fits").join(real, ["kind", "made"], "left_anti")
+        if settled is not None:  # what is settled stays
+            free = free.join(settled.select("kind", "made"), ["kind", "made"], "left_anti")
+        # of several the smallest
+        won = written(free.groupBy("kind", "made").agg(F.min(F.struct("norm", "attempt")).alias("r")).select("kind", "r.norm", "made", "r.attempt"), "settled")
+        settled = won if settled is None else settled.unionByName(won)
+        open_ = now.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti").withColumn("attempt", F.col("attempt") + 1)
+        if open_.isEmpty():
+            return settled.select("kind", "norm", "made", "attempt")
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
+def _changes(found: DataFrame, key: bytes, name: str) -> DataFrame:
+    """``h1, h2`` of the texts that have entities with other than their first surrogate, and which, as JSON."""
     moved = assignments(found, key).filter("attempt > 0").select("kind", "norm", "attempt")
-    changes = found.join(moved, ["kind", "norm"]).groupBy("id").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("__changes"))
-    changes = written(changes.withColumnRenamed("id", "__id"), "changes")
-    columns = docs.columns
-    joined = docs.join(changes, F.col(id_col).cast("long") == F.col("__id"), "left").select(*columns, F.to_json("__changes").alias("__changes"))
+    of_text = found.select("h1", "h2", "kind", "norm").distinct().join(moved, ["kind", "norm"])
+    return of_text.groupBy("h1", "h2").agg(F.to_json(F.collect_list(F.struct("kind", "norm", "attempt"))).alias(name))
+
+
+def surrogate_texts(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+    """``docs`` with the text's entities replaced, and ``n_entities`` (mentions replaced)."""
+    if not key:
+        raise ValueError("a key is needed: surrogates without a secret can be computed by anyone")
+    docs = docs.drop("n_entities")
+    hashes = F.coalesce(F.xxhash64(text), F.lit(0)).alias("h1"), F.coalesce(F.xxhash64(F.lit(1), F.col(text)), F.lit(0)).alias("h2")
+    found = written(docs.select(*hashes, F.col(text).alias("text")).mapInPandas(_read_entities, f"h1 long, h2 long, {TYPE}, gender string"), "found")
+    changes = _unused(docs, "changes")
+    with scratch():
+        of_text = written(_changes(found, key, changes), "changes", keep=True)
+    forget(found)
+    h1, h2 = _unused(docs, "h1"), _unused(docs, "h2")
+    of_text = of_text.withColumnsRenamed({"h1": h1, "h2": h2})
+    joined = docs.join(of_text, (hashes[0] == F.col(h1)) & (hashes[1] == F.col(h2)), "left").drop(h1, h2)
 
     def make():
         surrogates = Surrogates(key)
@@ -425,4 +546,4 @@ def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text: s
 
         return run
 
-    return appended(joined, text, make, f"`{text}` string, n_entities long", replace=True, drop=("__changes",))
+    return appended(joined, text, make, f"`{text}` string, n_entities long", replace=True, drop=(changes,))

@@ -33,13 +33,19 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), give_ids=False)
 
 
-#: in production the key is a secret of the deployment
-PII_KEY = b"recordlake surrogates"
+#: the setting that holds the key of surrogates; a deployment must set its own secret
+PII_SETTING = "spark.recordlake.pii.key"
+#: stands in where the setting is not set, as in tests: with it anyone can compute surrogates
+PUBLIC_KEY = "public key of the tests"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    return (spark.conf.get(PII_SETTING, None) or PUBLIC_KEY).encode()
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.surrogate_texts(docs, PII_KEY)
+    return pii.surrogate_texts(docs, pii_key(spark))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
