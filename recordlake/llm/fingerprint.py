@@ -122,10 +122,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     d = d.withColumn("bucket", _buckets(d, "id", int(count)))
     w = Window.partitionBy("bucket").orderBy(F.col("id").desc_nulls_last(), F.col("text"))
     inside = d.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("inner_next"))
-    # the first row of each range: one row a bucket
-    heads = inside.filter("rn = 1").select(F.col("bucket").alias("b"), F.col("text").alias("head"))
+    # which range comes after which is told from their numbers alone; no text is in that window
     order = Window.orderBy(F.col("b").desc())
-    after = heads.select("b", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
+    ranges = d.select(F.col("bucket").alias("b")).distinct()
+    ranges = ranges.select("b", F.coalesce(F.lead("b").over(order), F.first("b").over(order)).alias("then"))
+    heads = inside.filter("rn = 1").select(F.col("bucket").alias("then"), F.col("text").alias("head"))
+    after = ranges.join(heads, "then")
     joined = inside.join(after, (inside.bucket == after.b) & inside.inner_next.isNull(), "left")
     return joined.select("bucket", "rn", "id", "text", F.coalesce("inner_next", "head").alias("next_text"))
 

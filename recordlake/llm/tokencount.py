@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlake.llm.common import exact_ids, known_ids
+
 RULES = ("most", "start", "split")
 
 
@@ -77,13 +79,16 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", fields: lis
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     fields = fields or ["text"]
-    taken = docs.select(F.col(id_col).alias("__id"), *(F.coalesce(F.col(f), F.lit("")).alias(f"f{i}") for i, f in enumerate(fields)))
+    kind = dict(docs.select(id_col).dtypes)[id_col]
+    whole = kind in ("tinyint", "smallint", "int", "bigint")  # pandas keeps whole numbers exact only where none is null
+    taken = docs.select(F.col(id_col).isNotNull().alias("known"), (F.coalesce(F.col(id_col), F.lit(0)) if whole else F.col(id_col)).alias("id"), *(F.coalesce(F.col(f), F.lit("")).alias(f"f{i}") for i, f in enumerate(fields)))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding, lengths = load_encoding(path)
         for pdf in it:
             out = []
-            for row in pdf.itertuples(index=False):
+            ids = known_ids(pdf)
+            for doc, row in zip(ids, pdf.drop(columns="known").itertuples(index=False), strict=True):
                 pieces = [(name, k, line) for name, text in zip(fields, row[1:], strict=True) for k, line in enumerate(_lines(text))]
                 whole = "\n".join(row[1:])
                 sizes = np.array([len(line.encode()) for _, _, line in pieces], np.int64)
@@ -96,10 +101,10 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", fields: lis
                 at = 0
                 for (name, k, line), n, c in zip(pieces, count.tolist(), crossed.tolist(), strict=True):
                     at = 0 if k == 0 else at
-                    out.append((row[0], name, k, at, at + len(line), n, c, len(tokens)))
+                    out.append((doc, name, k, at, at + len(line), n, c, len(tokens)))
                     at += len(line)
-            yield pd.DataFrame(out, columns=["id", "field", "section", "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens"])
+            made = pd.DataFrame(out, columns=["id", "field", "section", "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens"], dtype=object)
+            yield made.assign(id=exact_ids(made["id"].tolist())) if whole else made
 
-    kind = dict(docs.select(id_col).dtypes)[id_col]
     got = taken.mapInPandas(run, f"id {kind}, field string, section long, start_char long, end_char long, n_tokens double, n_crossing long, doc_tokens long")
     return got.withColumnRenamed("id", id_col) if rule == "split" else got.withColumn("n_tokens", F.col("n_tokens").cast("long")).withColumnRenamed("id", id_col)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from recordlake.llm import components, embeddings, fingerprint, lm, minhash, packing, pii, sentencepieces, suffixes, tokencount, toxicity
 from recordlake.llm.common import tokenizer_path
+from test_ops_pure import insulted
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score string, id string, block string"
 PASSAGE = "the quick brown fox jumps over the lazy dog and then it runs far away from here"
@@ -65,6 +66,30 @@ def test_language_model(docs, none):
     assert lm.score_texts(none, held).collect() == []
 
 
+FAR = [(2**60 + 1, "far one"), (2**60 + 2, "far two"), (None, "far none")]
+
+
+def test_large_ids_beside_null_ids_stay_exact(spark):
+    far = frame(spark, FAR).repartition(1)
+    want = {i for i, _ in FAR}
+    path = tokenizer_path
+    for got in (
+        lm.score_texts(far, toxicity.held_out("doc_id", 1)), minhash.near_duplicates(far), suffixes.remove_repeats(far), tokencount.count_tokens(far, path("byte_bpe_50k.tiktoken")),
+        sentencepieces.encode(far, path("piece_bpe_32k.model")), pii.surrogate_texts(far, b"k"), packing.pack(far, path("word_bpe_49k.json")), fingerprint.compare_with_next(far),
+    ):
+        assert {r.doc_id for r in got.collect()} == want
+    mails = frame(spark, [(i, f"x.y@mail{k}.org") for k, (i, _) in enumerate(FAR)]).repartition(1)
+    assert {r.id for r in pii.entities(mails).collect()} == want
+
+
+def test_trigram_model(docs):
+    got = lm.score_texts(docs, F.lit(False), order=3, k=1.0, block_bytes=50_000).collect()
+    again = lm.score_texts(docs, F.lit(False), order=3, k=1.0).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    assert [r.score for r in sorted(got, key=key)] == pytest.approx([r.score for r in sorted(again, key=key)])
+    assert sum(r.score for r in got) > sum(r.score for r in lm.score_texts(docs, F.lit(False), order=1).collect())
+
+
 def test_embedding_links(spark):
     r = np.random.default_rng(4)
     base = r.normal(size=(12, 6))
@@ -188,6 +213,47 @@ def test_surrogates_of_many_names_stay_apart(spark):
     assert len(set(made)) == len(names) and not set(made) & set(names)
 
 
+def test_surrogates_without_ids_stay_apart(spark):
+    names = [f"Mr {a}{b}son" for a in "ABCDEFGHIJ" for b in ("ar", "el", "in", "or", "un", "yr")]
+    df = spark.createDataFrame([(None, n) for n in names], "doc_id long, text string")
+    made = [r.text for r in pii.surrogate_texts(df, b"key").collect()]
+    assert len(set(made)) == len(names) == 60 and not set(made) & set(names)
+
+
+def test_one_person_under_several_titles(spark):
+    rows = [(1, "Dr Kim Lee met Ms Kim Lee", 5, "x"), (2, "Prof Kim Lee", 6, "y"), (2, "Prof Kim Lee", 6, "y"), (None, "Kim. Frau Kim Lee", 7, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_entities int, changes string")
+    got = pii.surrogate_texts(df, b"key")
+    assert got.columns == ["doc_id", "text", "changes", "n_entities"]
+    texts = sorted(r.text for r in got.collect())
+    assert len(texts) == 4
+    dr = next(t for t in texts if t.startswith("Dr")).split()
+    assert dr[1:3] == dr[5:7] and pii.TOLD[dr[1].lower()] == "f"
+    assert f"Prof {dr[1]} {dr[2]}" in texts and f"{dr[1]}. Frau {dr[1]} {dr[2]}" in texts
+    with pytest.raises(ValueError):
+        pii.surrogate_texts(df, b"")
+
+
+def test_assignments_equal_a_plain_version(spark):
+    """Attempts one round after the other over all entities, in plain Python."""
+    mails = [f"{a}{b}@x.org" for a in "abc" for b in "0123456789"] + [f"{c}@x.org" for c in "abcdefghijklm"]
+    people = [("given-latin", n, g) for n, g in [("kim", "f"), ("lee", "m"), ("sam", "u"), ("anna", "f"), ("adam", "m")]] + [("family-latin", f"nm{k}", "u") for k in range(40)]
+    every = [("email", m, "u") for m in mails] + people
+    got = {(r.kind, r.norm): (r.made, r.attempt) for r in pii.assignments(spark.createDataFrame(every + every, "kind string, norm string, gender string"), b"key").collect()}
+    s, settled, todo = pii.Surrogates(b"key"), {}, {(k, n): (g, 0) for k, n, g in every}
+    while todo:
+        taken = {(k, m) for (k, _), (m, _) in settled.items()} | {(k, n) for k, n, _ in every}
+        owner = {}
+        for (k, n), (g, a) in sorted(todo.items()):
+            made = s.of(k, n, a)
+            if (k, made) not in taken and ("u" in (g, s.gender(k, made)) or g == s.gender(k, made)):
+                owner.setdefault((k, made), n)
+        for (k, made), n in owner.items():
+            settled[k, n] = made, todo.pop((k, n))[1]
+        todo = {x: (g, a + 1) for x, (g, a) in todo.items()}
+    assert got == settled
+
+
 def test_surrogates_of_a_full_shape_stay_apart(spark):
     names = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
     df = spark.createDataFrame([(k, f"to {n}") for k, n in enumerate(names)], "doc_id long, text string")
@@ -233,9 +299,20 @@ def test_toxicity(spark, docs, none):
 
 def test_toxicity_trains_on_whole_texts(spark):
     plain = "plain words " * 1500
-    df = spark.createDataFrame([(k, f"{plain}{'vulgar' if k % 2 else 'quiet'} {k}") for k in range(100)], "doc_id long, text string")
+    df = spark.createDataFrame([(k, f"{plain}{'vulgarity' if k % 2 else 'quiet'} {k}") for k in range(100)], "doc_id long, text string")
     model = toxicity.train(df, spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, toxic int"))
-    assert b"vulgar" in model.dictionaries[0] and b"vulgar" not in model.dictionaries[1]
+    assert all(b"vulgarity" in d for d in model.toxic) and b"vulgarity" not in model.ordinary
+
+
+def test_toxicity_of_rows_held_out(spark):
+    bad, clean = insulted(700, 5, 0.5)
+    texts = [(k, t, k < len(bad)) for k, t in enumerate(bad + clean)]
+    df = spark.createDataFrame([(k, t) for k, t, _ in texts], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(y)) for k, _, y in texts] + [(100_000 + k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, labels).filter("held_out").collect()}
+    a, b = (np.array([r.score for r in got.values() if texts[r.doc_id][2] == y]) for y in (True, False))
+    assert len(a) + len(b) == sum(zlib.crc32(str(k).encode()) % 5 == 0 for k, _, _ in texts)
+    assert (a[:, None] > b[None, :]).mean() > 0.95
 
 
 def test_fingerprints(spark, docs, none):

@@ -13,7 +13,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline", reason="the pipeline go
 
 from recordlake.llm import pii, toxicity  # noqa: E402
 from recordlake.llm.common import tokenizer_path  # noqa: E402
-from recordlake.llm.queries import PII_KEY  # noqa: E402
+from recordlake.llm.queries import PUBLIC_KEY  # noqa: E402
 
 
 def corpus():
@@ -38,7 +38,7 @@ def corpus():
 def plain(docs, labels):
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
     text = dict(docs)
-    train = [[(text[i] or "")[:16_000] for i, _, y in labels if y == k and not held(i)] for k in (1, 0)]
+    train = [[(text[i] or "") for i, _, y in labels if y == k and not held(i)] for k in (1, 0)]
     score = toxicity.Scorer(toxicity.fit(*train))
     docs = [(i, t) for i, t in docs if score(t or "") < 0.5]
     sets = {}
@@ -62,7 +62,7 @@ def plain(docs, labels):
         for j in range(len(data) - 49):
             seen.setdefault(data[j : j + 50], i)
         kept.append((i, np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")))
-    s = pii.Surrogates(PII_KEY)
+    s = pii.Surrogates(PUBLIC_KEY.encode())
     return [(i, pii.replace(t, pii.detect(t), s, {})) for i, t in kept]
 
 
@@ -87,6 +87,12 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
         assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in pieces)
 
 
+def test_run_takes_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_stages_take_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
