@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordlake.llm import minhash, packing, pii, suffixes, toxicity
-from recordlake.llm.common import table, tokenizer_path, written
-from recordlake.llm.queries import PII_KEY
+from recordlake.llm.common import forget, scratch, table, tokenizer_path, written
+from recordlake.llm.queries import pii_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,7 +38,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data."""
-    found = pii.surrogate_texts(docs.select(*COLUMNS), PII_KEY)
+    found = pii.surrogate_texts(docs.select(*COLUMNS), pii_key(spark))
     return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -57,10 +57,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written and read again."""
+    """All stages over ``documents``; what each returns is written and read again, what it needed on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch():
+            later = written(stage(spark, docs, sf_dir), name, keep=True)
+        forget(docs)
+        docs = later
     return docs
 
 
