@@ -6,6 +6,8 @@ import uuid
 
 EMPTY_KEY = "00000000-0000-0000-0000-000000000000"
 NAME_BYTES = 255
+#: fixed values: names that some systems keep for devices
+DEVICES = {"CON", "PRN", "AUX", "NUL", *(f"{kind}{n}" for kind in ("COM", "LPT") for n in range(1, 10))}
 
 
 def table_name(name: str) -> str:
@@ -18,6 +20,20 @@ def table_name(name: str) -> str:
     return name
 
 
+def path(value: str | None) -> str:
+    """The root of a store: not blank, without control characters, and its last part is a name."""
+    if value is None or not value.strip():
+        raise ValueError("The path cannot be blank.")
+    if any(ord(c) < 32 for c in value):
+        raise ValueError("The path has control characters.")
+    name = value.rstrip("/").rpartition("/")[2].rstrip(" .")
+    if not name or name.endswith(":"):
+        raise ValueError("The path must end with a name.")
+    if name.partition(".")[0].upper() in DEVICES:
+        raise ValueError(f"{name} is the name of a device.")
+    return value.rstrip("/")
+
+
 def field_name(name: str | None) -> str:
     if not name:
         raise ValueError("Index field name cannot be empty.")

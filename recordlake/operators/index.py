@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlake.operators.ranges import carried, key_range, ranked
 from recordlake.operators.state import KEY, SAVE, last_deletes, live
 
 SPARSE_STEP = 64
+#: seqs that meet in one window
+RANGE = 1_000_000
 
 
 def postings(log: DataFrame, indexes: DataFrame | None = None) -> DataFrame:
@@ -36,11 +39,11 @@ def lookup_accumulated(log: DataFrame, field: str, value: str, indexes: DataFram
 
 
 def merge_runs(*runs: DataFrame) -> DataFrame:
-    """Runs of ``field, value, key`` as one: each value with its different keys, sorted."""
+    """Runs of ``field, value, key`` as one: each mapping once. A row a mapping: a value may have most of the keys."""
     every = runs[0]
     for r in runs[1:]:
         every = every.unionByName(r)
-    return every.distinct().groupBy("field", "value").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    return every.select("field", "value", "key").distinct()
 
 
 def total_mappings(p: DataFrame) -> DataFrame:
@@ -51,8 +54,8 @@ def total_mappings(p: DataFrame) -> DataFrame:
 def flush_chunks(p: DataFrame, threshold: int) -> DataFrame:
     """Different mappings with the number of the flush that takes them, in order of first appearance, by table and field."""
     first = p.groupBy("table_name", "field", "value", "key").agg(F.min("seq").alias("seq"))
-    w = Window.partitionBy("table_name", "field").orderBy("seq", "value", "key")
-    return first.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / threshold).cast("long"))
+    found = ranked(first, ["table_name", "field"], ["seq", "value", "key"], F.floor(F.col("seq") / RANGE), "place")
+    return found.withColumn("chunk", F.floor(F.col("place") / threshold).cast("long")).drop("place")
 
 
 def runs_left(flushes: DataFrame, trigger: int) -> DataFrame:
@@ -65,8 +68,8 @@ def runs_left(flushes: DataFrame, trigger: int) -> DataFrame:
 
 def sparse_entries(sorted_keys: DataFrame, step: int = SPARSE_STEP) -> DataFrame:
     """Every ``step``-th of (``table_name, key, at``), by key, from the first on."""
-    w = Window.partitionBy("table_name").orderBy("key")
-    return sorted_keys.withColumn("n", F.row_number().over(w)).filter((F.col("n") - 1) % step == 0).drop("n")
+    found = ranked(sorted_keys, ["table_name"], ["key"], key_range(sorted_keys, "key"), "place")
+    return found.filter(F.col("place") % step == 0).drop("place")
 
 
 def sparse_floor(probes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -76,6 +79,5 @@ def sparse_floor(probes: DataFrame, entries: DataFrame) -> DataFrame:
     """
     both = probes.select("table_name", "key", F.lit(None).cast("long").alias("at"), F.lit(1).alias("probe")).unionByName(
         entries.select("table_name", "key", F.col("at").cast("long").alias("at"), F.lit(0).alias("probe")))
-    w = Window.partitionBy("table_name").orderBy("key", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("floor", F.coalesce(F.last("at", ignorenulls=True).over(w), F.lit(0)))
-    return carried.filter("probe = 1").select("table_name", "key", "floor")
+    found = carried(both, ["table_name"], ["key", "probe"], key_range(both, "key"), "at", "floor")
+    return found.filter("probe = 1").select("table_name", "key", F.coalesce("floor", F.lit(0)).alias("floor"))

@@ -35,6 +35,12 @@ def plan_offsets(saves: DataFrame) -> DataFrame:
     return out.withColumn("version", F.col("data_offset")).withColumn("index_offset", HEADER + SLOT * F.col("slot")).drop("slot")
 
 
+def data_end(saves: DataFrame) -> DataFrame:
+    """``data_end``: where the next payload goes, after the one that ends last; 0 without any."""
+    ends = plan_offsets(saves).select((F.col("data_offset") + F.octet_length("data")).alias("at"))
+    return ends.agg(F.coalesce(F.max("at"), F.lit(0)).cast("long").alias("data_end"))
+
+
 def valid_prefix(log: DataFrame, bad: Column) -> DataFrame:
     """Rows before the first bad one: everything after it is gone with it."""
     first = log.filter(bad).agg(F.min("seq").alias("first_bad"))

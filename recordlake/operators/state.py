@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordlake.operators.ranges import upper_bound
+
 SAVE, DELETE, DROP, TRUNCATE = "S", "D", "X", "T"
 KEY = ["table_name", "key"]
 
@@ -24,26 +26,22 @@ def with_marks(log: DataFrame, marks: DataFrame) -> DataFrame:
 def effective_marks(log: DataFrame) -> DataFrame:
     """``table_name, mark``: the last drop or truncate of each table that had a live key just before.
 
-    The mark of a table without live keys does nothing, whatever marks stand around it.
+    The mark of a table without live keys does nothing, whatever marks stand around it. The marks of a table are one
+    sorted array, in which a row finds the next one by binary search, so no row is paired with all of them.
     """
-    wipes = log.filter(F.col("op").isin(DROP, TRUNCATE)).select("table_name", F.col("seq").alias("wipe"))
-    if wipes.isEmpty():
-        return wipes.select("table_name", F.col("wipe").alias("mark")).limit(0)
+    wipes = log.filter(F.col("op").isin(DROP, TRUNCATE)).groupBy("table_name").agg(F.sort_array(F.collect_list("seq")).alias("wipes"))
+    rows = log.filter("key IS NOT NULL").select("table_name", "key", "seq", "op").join(wipes, "table_name")
     # the interval of marks that a keyed row falls into, and what the last row of each key in it says
-    order = Window.partitionBy("table_name").orderBy("wipe")
-    spans = wipes.select("table_name", "wipe", F.coalesce(F.lag("wipe").over(order), F.lit(-1)).alias("since"))
-    rows = log.filter("key IS NOT NULL").select("table_name", "key", "seq", "op")
-    inside = rows.join(spans, "table_name").filter((F.col("seq") > F.col("since")) & (F.col("seq") < F.col("wipe")))
+    inside = rows.withColumn("wipe", F.get("wipes", upper_bound(F.col("wipes"), F.col("seq")))).filter("wipe IS NOT NULL")
     last = inside.groupBy("table_name", "wipe", "key").agg(F.max_by("op", "seq").alias("op"))
     # keys live in an interval: those that its marks kill; an ineffective mark kills nothing, and nothing was live before it
-    live = last.filter(F.col("op") == SAVE).select("table_name", "wipe").distinct()
-    return live.groupBy("table_name").agg(F.max("wipe").alias("mark"))
+    return last.filter(F.col("op") == SAVE).groupBy("table_name").agg(F.max("wipe").alias("mark"))
 
 
 def last_deletes(log: DataFrame) -> DataFrame:
-    """Each row with ``last_d``, the greatest delete of its key, or -1."""
-    w = Window.partitionBy(*KEY)
-    return log.withColumn("last_d", F.coalesce(F.max(F.when(F.col("op") == DELETE, F.col("seq"))).over(w), F.lit(-1)))
+    """Each row with ``last_d``, the greatest delete of its key, or -1. A join, so that a key with most rows can be split."""
+    last = log.filter(F.col("op") == DELETE).groupBy(*KEY).agg(F.max("seq").alias("last_d"))
+    return log.join(last, KEY, "left").withColumn("last_d", F.coalesce("last_d", F.lit(-1)))
 
 
 def latest(log: DataFrame, *extra: str) -> DataFrame:
@@ -71,11 +69,20 @@ def live_paged(log: DataFrame, *extra: str) -> DataFrame:
     return alive.join(first, KEY).select(*KEY, *(F.col(f"s.{c}").alias(c) for c in columns), "first_seq")
 
 
-def effective_deletes(log: DataFrame) -> DataFrame:
-    """Deletes that met a live key."""
-    w = Window.partitionBy(*KEY).orderBy("seq")
-    tagged = log.filter("key IS NOT NULL").withColumn("previous", F.lag("op").over(w))
-    return tagged.filter((F.col("op") == DELETE) & (F.col("previous") == SAVE)).drop("previous")
+def effective_deletes(log: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """Deletes that met a live key.
+
+    In ranges of ``width`` seqs, so that the versions of one key never meet in one window; the first row of a key in a range
+    looks at the last one of the range before.
+    """
+    rows = log.filter("key IS NOT NULL").withColumn("__range", F.floor(F.col("seq") / width))
+    w = Window.partitionBy(*KEY, "__range").orderBy("seq")
+    tagged = rows.withColumn("__before", F.lag("op").over(w)).filter(F.col("op") == DELETE)
+    last = rows.groupBy(*KEY, "__range").agg(F.max_by("op", "seq").alias("__op"))
+    ranges = Window.partitionBy(*KEY).orderBy("__range")
+    last = last.withColumn("__op", F.lag("__op").over(ranges)).filter(F.col("__op") == SAVE).drop("__op")
+    first = tagged.filter("__before IS NULL").join(last, [*KEY, "__range"], "left_semi")
+    return tagged.filter(F.col("__before") == SAVE).unionByName(first.select(*tagged.columns)).drop("__before", "__range").select(*log.columns)
 
 
 def count_by_table(log: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlake.functions.checks import EMPTY_KEY
 from recordlake.functions.text import content_match, crc, text_lenient, try_text
-from recordlake.operators import index, log, state
+from recordlake.operators import index, log, runs, state
+from recordlake.operators.ranges import key_range, ranked
 from recordlake.plans import query
 from recordlake.sources.changelog import events_log, key_of, records_log
 from recordlake.streaming.replay import read_changes, replay
@@ -193,13 +194,51 @@ def postings_counts(spark, d):
     return p.select("field", "value", "key").distinct().groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_keys"), F.min("key").alias("first_key"))
 
 
-@register("WITH p AS (SELECT DISTINCT p_brand AS value, p_partkey::VARCHAR AS key FROM part) SELECT 'brand' AS field, value, array_to_string(list_sort(list(key)), ',') AS keys FROM p GROUP BY value")
+@register("SELECT DISTINCT 'brand' AS field, p_brand AS value, p_partkey::VARCHAR AS key FROM part")
 def postings_merge(spark, d):
     p = _t(spark, d, "part")
     every = index.postings(records_log(p, F.col("p_partkey"), "part", F.col("p_partkey"), F.col("p_name"), {"brand": F.col("p_brand")})).select("field", "value", "key")
     runs = [every.filter(F.pmod(F.xxhash64("key"), F.lit(3)) == k) for k in range(3)]
     # overlapping runs: the second is there twice
-    return index.merge_runs(*runs, runs[1]).select("field", "value", F.array_join("keys", ",").alias("keys"))
+    return index.merge_runs(*runs, runs[1])
+
+
+@register(f"WITH {LOG} SELECT 'event_type' AS field, count(DISTINCT (f, key)) AS mappings FROM log WHERE op = 'S'")
+def total_mappings(spark, d):
+    return index.total_mappings(index.postings(_events(spark, d)))
+
+
+def _base(spark):
+    """The shared folder that the session names; a local one only where it names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordlake-")
+
+
+def _order_runs(spark, d, n):
+    """``n`` stored runs of the orders' index, by order date as saves would come."""
+    at = f"{_base(spark)}/runs-{uuid.uuid4().hex}"
+    postings = index.postings(_orders(spark, d))
+    for k in range(n):
+        runs.write_run(postings.filter(F.pmod("seq", F.lit(n)) == k), f"{at}/{k}", 10_000)
+    return [f"{at}/{k}" for k in range(n)]
+
+
+@register("SELECT o_orderkey::VARCHAR AS key, o_orderkey AS seq FROM orders WHERE o_orderpriority = '2-HIGH'")
+def index_run_lookup(spark, d):
+    return runs.lookup(runs.read_run(spark, *_order_runs(spark, d, 3)), "orders", "priority", "2-HIGH")
+
+
+@register("SELECT o_orderkey::VARCHAR AS key, o_orderkey AS seq FROM orders WHERE false")
+def index_run_miss(spark, d):
+    return runs.lookup(runs.read_run(spark, *_order_runs(spark, d, 2)), "orders", "priority", "2-HIGHER")
+
+
+@register("SELECT 'orders' AS table_name, 'status' AS field, o_orderstatus AS value, o_orderkey::VARCHAR AS key, o_orderkey AS seq FROM orders UNION ALL SELECT 'orders', 'priority', o_orderpriority, o_orderkey::VARCHAR, o_orderkey FROM orders")
+def index_runs_merged(spark, d):
+    paths = _order_runs(spark, d, 4)
+    at = f"{_base(spark)}/runs-{uuid.uuid4().hex}"
+    # the third run is there twice
+    runs.write_run(runs.merged(*(runs.read_run(spark, p) for p in [*paths, paths[2]])), at, 40_000)
+    return runs.read_run(spark, at)
 
 
 @register(f"""WITH {LOG}, m AS (SELECT table_name, f AS value, key, min(seq) AS seq FROM log WHERE op = 'S' GROUP BY ALL),
@@ -224,8 +263,8 @@ e AS (SELECT key, (n - 1) * 305 AS at FROM k WHERE (n - 1) % 64 = 0)
 SELECT 'customer' AS table_name, s.s_name AS key, coalesce(e.at, 0)::BIGINT AS floor FROM (SELECT DISTINCT replace(s_name, 'Supplier', 'Customer') AS s_name FROM supplier) s ASOF LEFT JOIN e ON s.s_name >= e.key""")
 def sparse_floor(spark, d):
     c = _t(spark, d, "customer").select(F.lit("customer").alias("table_name"), F.col("c_name").alias("key"))
-    place = F.row_number().over(Window.partitionBy("table_name").orderBy("key"))
-    entries = index.sparse_entries(c.withColumn("at", (place - 1).cast("long") * 305))
+    placed = ranked(c, ["table_name"], ["key"], key_range(c, "key"), "place")
+    entries = index.sparse_entries(placed.select("table_name", "key", (F.col("place") * 305).alias("at")))
     probes = _t(spark, d, "supplier").select(F.lit("customer").alias("table_name"), F.expr("replace(s_name, 'Supplier', 'Customer')").alias("key")).distinct()
     return index.sparse_floor(probes, entries)
 
@@ -338,6 +377,11 @@ def wal_offsets_versions(spark, d):
     return log.plan_offsets(_events(spark, d).filter("op = 'S'")).select("seq", "data_offset", "index_offset")
 
 
+@register(f"WITH {LOG} SELECT sum(octet_length(encode(data)))::BIGINT AS data_end FROM log WHERE op = 'S'")
+def data_end(spark, d):
+    return log.data_end(_events(spark, d).filter("op = 'S'"))
+
+
 @register(f"WITH {LOG} SELECT seq, op, key FROM log WHERE seq < coalesce((SELECT min(seq) FROM log WHERE seq % 997 = 996), 9223372036854775807)")
 def wal_valid_prefix(spark, d):
     return log.valid_prefix(_events(spark, d), F.col("seq") % 997 == 996).select("seq", "op", "key")
@@ -364,7 +408,10 @@ def delete_targets(spark, d):
     return log.delete_targets(deletes, slots).select("table_name", "key", "seq")
 
 
-@register(None)
+@register("""SELECT event_id, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(props))), lambda i: ('0x' || substr(hex(encode(props)), 2 * i + 1, 2))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))
+  ), 4294967295::BIGINT) AS crc FROM events""")
 def crc32_payload(spark, d):
     return _t(spark, d, "events").select("event_id", crc(F.col("props")).alias("crc"))
 
@@ -376,14 +423,13 @@ def key_from_columns(spark, d):
 
 @register(LIVE + "SELECT table_name, key, data, seq FROM live")
 def stream_replay(spark, d):
-    # the shared folder that the session names; a local one only where it names none
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordlake-")
+    base = _base(spark)
     run = uuid.uuid4().hex
     rows = _events(spark, d)
     # three files, so three batches, that do not follow the order of the log
     rows.repartition(3, "key").write.parquet(f"{base}/changes-{run}")
     changes = read_changes(spark, f"{base}/changes-{run}", rows.schema)
-    return replay(changes, f"replay_{run}", f"{base}/replay-{run}").select("table_name", "key", "data", "seq")
+    return replay(changes, f"{base}/state-{run}", f"{base}/replay-{run}").select("table_name", "key", "data", "seq")
 
 
 @register(f"""WITH {LOG}, {MARKS}, tagged AS (SELECT *, coalesce(max(CASE WHEN op = 'D' THEN seq END) OVER (PARTITION BY table_name, key), -1) AS last_d FROM scoped), {STATE}

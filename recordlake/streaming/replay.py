@@ -17,26 +17,30 @@ def read_changes(spark: SparkSession, path: str, schema: StructType, files_per_b
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def replay(changes: DataFrame, name: str, checkpoint: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Run all available changes through a streaming aggregation; the live rows at the end.
-
-    The result table is kept in memory by the sink, so this suits checks and small tables; in production
-    ``start`` writes each batch's changed keys.
-    """
-    columns = ["seq", "op", "data", *extra]
-    state = changes.groupBy(*KEY).agg(F.max_by(F.struct(*columns), "seq").alias("s"))
-    run = state.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    found = changes.sparkSession.table(name)
-    return found.select(*KEY, *(F.col(f"s.{c}").alias(c) for c in columns)).filter(F.col("op") == SAVE)
-
-
-def start(changes: DataFrame, target: str, checkpoint: str):
+def start(changes: DataFrame, target: str, checkpoint: str, extra: tuple[str, ...] = (), available_now: bool = False):
     """A continuous replay: each batch appends the keys it changed, with the batch's number."""
+    columns = ["seq", "op", "data", *extra]
 
     def put(batch: DataFrame, number: int) -> None:
         # named by its number, so that a batch that runs again replaces itself
-        last = batch.groupBy(*KEY).agg(F.max_by(F.struct("seq", "op", "data"), "seq").alias("s")).select(*KEY, "s.*")
+        last = batch.groupBy(*KEY).agg(F.max_by(F.struct(*columns), "seq").alias("s")).select(*KEY, "s.*")
         last.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+    writer = changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current(changes: DataFrame, target: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The live rows of what ``start`` has written to ``target`` so far."""
+    columns = ["seq", "op", "data", *extra]
+    kind = changes.select(*KEY, *columns).schema
+    state = changes.sparkSession.read.schema(kind).parquet(target).groupBy(*KEY).agg(F.max_by(F.struct(*columns), "seq").alias("s"))
+    return state.select(*KEY, *(F.col(f"s.{c}").alias(c) for c in columns)).filter(F.col("op") == SAVE)
+
+
+def replay(changes: DataFrame, target: str, checkpoint: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Run all available changes into ``target``; the live rows at the end. Nothing of the state is held by the driver."""
+    kind = changes.select(*KEY, "seq", "op", "data", *extra).schema
+    changes.sparkSession.createDataFrame([], kind).write.mode("overwrite").parquet(f"{target}/batch=-1")
+    start(changes, target, checkpoint, extra, available_now=True).awaitTermination()
+    return current(changes, target, extra)
