@@ -161,7 +161,7 @@ def _block(pieces: Pieces, rows: list[tuple[int | None, str]], own: int, seq: in
     asked: dict[int, list[str]] = defaultdict(list)
     for u in sorted(every):
         asked[_part(u, parts)].append(u)
-    z = zstandard.ZstdCompressor(level=3)
+    z = zstandard.ZstdCompressor(level=1)
     order = sorted(asked)
     place = {u: k for k, u in enumerate(u for p in order for u in asked[p])}
     heads = [(i, len(t), xxhash.xxh3_128_digest(t.encode())) for i, t in rows]
@@ -286,7 +286,7 @@ def _answer(path: str, blocks: int):
                 at = [i for i, c in enumerate(bin(bits)[:1:-1]) if c == "1"]
                 got = [x for a, b in zip(at, at[1:], strict=False) for x in pieces.of(unit[a:b])]
             ids[unit] = np.array(got, "<u4").tobytes()
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=1)
         answers = []
         for own, seq, us in questions:
             got = [ids[u] for u in us]
@@ -343,7 +343,7 @@ def _texts(pieces: Pieces, seq: int, order: list[int], heads: list[tuple], array
         yield (i, len(data) // 4, zlib.crc32(data), same, *([np.frombuffer(data, "<u4").astype(np.int32)] if give_ids else []))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", give_ids: bool = True, block_bytes: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", give_ids: bool = True, block_bytes: int = 8_000_000) -> DataFrame:
     """Ids of each whole text: id, ``n_pieces``, ``ids_crc32`` (of unsigned 32-bit ids), ``decoded_equal`` and, if asked for, ``ids``."""
     spark = docs.sparkSession
     blocks = block_count(docs, text, block_bytes)
