@@ -8,9 +8,9 @@ than eps are skipped; a surviving pair is joined by recursion on halves of the t
 same test, down to small intervals whose cosines are computed in double precision. The principal
 directions and the boxes only decide what is skipped; what is skipped is provably no link.
 
-Equal vectors of a label collapse to one representative with a multiplicity first. A pair of blocks
-returns, for each representative with links, the number of linked vectors and the smallest one of its
-local component, never the links themselves: the output is linear in the vectors of the two blocks.
+Equal vectors of a label collapse to one representative with a multiplicity first. Blocks meet in tiles
+of eight, so that a block travels once for each pair of tiles. A pair of blocks returns, for each
+representative with links, the number of linked vectors and the smallest one of its local component, never the links themselves: the output is linear in the vectors of the two blocks.
 
 Defined cases: a vector that is null, zero, or holds a null or non-finite component, and a row with a
 null label or null id, links with nothing; its component is its own id. Vectors of different lengths
@@ -32,6 +32,8 @@ from recordlake.llm.common import parallelism, written
 from recordlake.llm.components import components
 
 LEAF = 256
+#: eight blocks are a tile
+TILE_BITS = 3
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -156,25 +158,29 @@ def _local_roots(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.nd
         label = new
 
 
-def _join_pair(threshold: float, dims: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bid")
-        get = lambda k, name, kind: np.frombuffer(pdf[name].iloc[k], dtype=kind)
-        last, same = len(pdf) - 1, len(pdf) == 1
-        ids, mult = [get(k, "ids", np.int64) for k in (0, last)], [get(k, "mult", np.int64) for k in (0, last)]
-        x = [get(k, "vs", np.float64).reshape(len(ids[k and 1]), -1) for k in (0, last)]
-        y = [get(k, "ys", np.float64).reshape(len(ids[k and 1]), dims) for k in (0, last)]
-        i, j = ego_links(x[0], y[0], x[1], y[1], same, threshold)
+def _join_tiles(threshold: float, dims: int):
+    def one(a: dict, b: dict) -> pd.DataFrame:
+        same = a is b
+        i, j = ego_links(a["x"], a["y"], b["x"], b["y"], same, threshold)
         if same:
-            every, many, at = ids[0], mult[0], j
+            every, many, at = a["ids"], a["mult"], j
         else:
-            every, many, at = np.concatenate(ids), np.concatenate(mult), j + len(ids[0])
+            every, many, at = np.concatenate([a["ids"], b["ids"]]), np.concatenate([a["mult"], b["mult"]]), j + len(a["ids"])
         n = len(every)
         links = np.bincount(i, weights=many[at], minlength=n) + np.bincount(at, weights=many[i], minlength=n)
         root = _local_roots(n, i, at, every)
         has = links > 0
         return pd.DataFrame({"id": every[has], "links": links[has].astype(np.int64), "root": root[has]})
 
+    def run(pairs: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        """The pairs of blocks of two tiles; each block is there once, whatever the number of its pairs."""
+        held = {}
+        for bid, ids, mult, ys, vs in zip(blocks["bid"].tolist(), blocks["ids"], blocks["mult"], blocks["ys"], blocks["vs"], strict=True):
+            ids = np.frombuffer(ids, np.int64)
+            held[bid] = {"ids": ids, "mult": np.frombuffer(mult, np.int64), "x": np.frombuffer(vs).reshape(len(ids), -1), "y": np.frombuffer(ys).reshape(len(ids), dims)}
+        found = [one(held[p], held[q]) for p, q in zip(pairs["p"].tolist(), pairs["q"].tolist(), strict=True)]
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
+
     return run
 
 
@@ -206,9 +212,13 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding
     right = box.select(F.col("bid").alias("q"), "grp", F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.explode(F.sequence(first("lo") - 1, first("hi") + 1)).alias("cell"))
     gap = F.aggregate(F.arrays_zip("plo", "phi", "qlo", "qhi"), F.lit(0.0), lambda s, z: s + F.pow(F.greatest(F.lit(0.0), z.qlo - z.phi, z.plo - z.qhi), F.lit(2.0)))
     pairs = left.join(right, ["grp", "cell"]).filter((F.col("p") <= F.col("q")) & (gap <= eps * eps * (1 + 1e-9))).select("p", "q").distinct()
-    sides = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("bid"))
-    work = sides.join(blocks.select("bid", "ids", "mult", "ys", "vs"), "bid").repartition(parallelism(spark), "p", "q")
-    found = written(work.groupBy("p", "q").applyInPandas(_join_pair(threshold, dims), "id long, links long, root long"), "links")
+    # neighbouring blocks are a tile: a block travels once for each pair of tiles and not for each of its pairs
+    tile = lambda c: F.shiftright(c, TILE_BITS)
+    pairs = written(pairs.withColumn("tp", tile("p")).withColumn("tq", tile("q")), "pairs")
+    sides = pairs.select(F.col("tp").alias("wp"), F.col("tq").alias("wq"), F.explode(F.array("p", "q")).alias("bid")).distinct()
+    work = sides.join(blocks.select("bid", "ids", "mult", "ys", "vs"), "bid")
+    joined = pairs.groupBy("tp", "tq").cogroup(work.groupBy("wp", "wq"))
+    found = written(joined.applyInPandas(_join_tiles(threshold, dims), "id long, links long, root long"), "links")
 
     parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -132,13 +132,26 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     return joined.select("bucket", "rn", "id", "text", F.coalesce("inner_next", "head").alias("next_text"))
 
 
+def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``with_next`` and ``edited``, the text with its last half replaced by the start of the next document."""
+    d = with_next(docs, id_col, text)
+    kept, put = F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"), F.expr("substring(next_text, 1, cast(char_length(text) div 2 as int))")
+    return d.withColumn("edited", F.concat(kept, put))
+
+
+def _facts() -> tuple[Column, Column]:
+    return F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")
+
+
+def edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Id, ``n_chars`` and ``edited_sha256`` alone."""
+    return with_edits(docs, id_col, text).select(F.col("id").alias(id_col), *_facts())
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text (its last half replaced by the start of the next
     document) and the likeness to the edited text and to the next document."""
-    d = with_next(docs, id_col, text)
-    n = F.char_length("text")
-    edited = F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"), F.expr("substring(next_text, 1, cast(char_length(text) div 2 as int))"))
-    d = d.select("bucket", "rn", "id", n.cast("long").alias("n_chars"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"), F.array(F.col("text"), edited, F.col("next_text")).alias("texts"))
+    d = with_edits(docs, id_col, text).select("bucket", "rn", "id", *_facts(), F.array("text", "edited", "next_text").alias("texts"))
     keys = ["bucket", "rn", "id", "n_chars", "edited_sha256"]
     d = d.select(*keys, F.posexplode("texts").alias("which", "one"))
     d = d.select(*keys, "which", F.explode_outer(pieces(F.col("one"))).alias("piece"))

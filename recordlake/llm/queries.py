@@ -60,6 +60,16 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def lm_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: its counts."""
+    return op1_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: the edited texts."""
+    return fingerprint.edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_embedding_links": op2_embedding_links,
@@ -71,11 +81,31 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprint": op10_fingerprint,
+    "lm_token_counts": lm_token_counts,
+    "fingerprint_edits": fingerprint_edits,
 }
 
 _COSINE = "list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))"
 
+_CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))
+  ), 4294967295::BIGINT)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "lm_token_counts": rf"""
+WITH d AS (
+  SELECT doc_id, {_CRC32} % 5 = 1 AS held_out,
+         list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), '') AS ws
+  FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
+known AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(known.w)::BIGINT AS n_known, (SELECT coalesce(sum(c), 0) FROM known)::BIGINT AS train_tokens
+FROM t LEFT JOIN known USING (w) GROUP BY doc_id, held_out""",
+    "fingerprint_edits": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS after FROM d WINDOW w AS (ORDER BY doc_id DESC))
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(after, 1, length(t) // 2)) AS edited_sha256 FROM n""",
     "op2_embedding_links": f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),

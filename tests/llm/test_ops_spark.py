@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
+import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from recordlake.llm import components, embeddings, fingerprint, lm, minhash, packing, pii, sentencepieces, suffixes, tokencount, toxicity
+from recordlake.llm import components, embeddings, fingerprint, lm, minhash, packing, pii, queries, sentencepieces, suffixes, tokencount, toxicity
 from recordlake.llm.common import tokenizer_path
 from test_ops_pure import insulted
 
@@ -117,6 +121,19 @@ def test_embedding_links(spark):
     assert embeddings.embedding_links(df.limit(0)).collect() == []
 
 
+def test_embeddings_of_one_cell(spark):
+    """All vectors in one cell of the grid and one label: nothing can be skipped, several tiles meet."""
+    r = np.random.default_rng(9)
+    x = np.ones(8) + r.normal(size=(300, 8)) * 0.2
+    got = {v.vec_id: (v.n_links, v.component_id) for v in embeddings.embedding_links(spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"), block=16).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & ~np.eye(300, dtype=bool)
+    label = np.arange(300)
+    for _ in range(300):
+        label = np.minimum(label, np.where(near, label[None, :], 300).min(axis=1))
+    assert got == {i: (int(near[i].sum()), int(label[i])) for i in range(300)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 300), (300, 200), (7, 7), (200, 100), (None, 4)] + [(500, 500 + i) for i in range(1, 50)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -330,6 +347,63 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.compare_with_next(none).collect() == []
 
 
+def plain_fingerprint(text):
+    """Word by word and lane by lane."""
+    pieces = re.findall(fingerprint.PIECE, text, re.ASCII)
+    hashed = lambda p, k: xxhash.xxh64_intdigest(struct.pack("<i", k), seed=xxhash.xxh64_intdigest(p.encode(), seed=42))
+    low, high, words = [0] * 128, [0] * 128, [len(pieces) % 2**32, 0, 0, 0, 0]
+    for p in pieces:
+        for k in range(4):
+            h = hashed(p, k)
+            for j in range(32):
+                low[32 * k + j] += h >> j & 1
+                high[32 * k + j] += h >> (32 + j) & 1
+        for n, k in enumerate((101, 102)):
+            words[1 + 2 * n] += hashed(p, k) & 2**32 - 1
+            words[2 + 2 * n] += hashed(p, k) >> 32
+    lanes = [x % 2**24 for x in low + high]
+    signs = [2 * x - len(pieces) for x in low + high]
+    return "".join(f"{x % 2**32:08x}" for x in words) + "".join(f"{x:06x}" for x in lanes), signs
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    x, y = np.array(a[1], float), np.array(b[1], float)
+    norm = x @ x + y @ y
+    return max(0.0, min(1.0, 2 * (x @ y) / norm)) if norm else 0.0
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    texts = {1: "one two three\nfour  five\tsix seven eight nine ten eleven", 2: "one two three\nfour", 3: "", 4: " \n ", 5: "é漢 🙂\n" * 40, 6: PASSAGE, 7: PASSAGE + "\nmore", 8: None, 9: LONG}
+    got = {r.doc_id: r for r in fingerprint.compare_with_next(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    order = sorted(texts, reverse=True)
+    for k, i in enumerate(order):
+        t, after = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, changed, following = map(plain_fingerprint, (t, edited, after))
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (own[0], changed[0])
+        assert r.near_edited == pytest.approx(plain_likeness(own, changed)) and r.near_next == pytest.approx(plain_likeness(own, following))
+
+
+def test_queries_equal_their_sql(spark):
+    """Whole registered queries that SQL can express, on the small tables."""
+    duckdb = pytest.importorskip("duckdb")
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name in ("lm_token_counts", "fingerprint_edits", "op2_embedding_links"):
+        df = queries.QUERIES[name](spark, data)
+        want = c.execute(queries.ORACLE_SQL[name])
+        columns = [d[0] for d in want.description]
+        assert sorted(df.columns) == sorted(columns)
+        assert sorted(map(tuple, df.select(*columns).collect())) == sorted(want.fetchall())
+
+
 def test_fingerprints_add_up(spark):
     one = lambda t, k: spark.createDataFrame([(k, t)], "k int, t string").select("k", F.explode(fingerprint.pieces(F.col("t"))).alias("p"))
     a, b, both = "first line\nsecond line", "third\nfourth", "fourth\nsecond line\nthird\nfirst line"
