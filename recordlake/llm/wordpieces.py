@@ -4,11 +4,13 @@ White space separates words for such a tokenizer (it is dropped, and normal form
 split pattern act inside a word), so a text's ids are its words' ids in a row. Words of common Latin
 letters, digits and ASCII signs are split by the file's own pattern and encoded by its BPE model; any
 other word (other scripts, combining marks, unusual white space, special tokens) goes through the whole
-tokenizer. The cache is bounded: it starts anew when full.
+tokenizer. A file with another normal form or split pattern than the ones written here goes through the library, text
+by text. The caches are bounded: each starts anew when full.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -17,6 +19,20 @@ PLAIN = re.compile(r"[!-~À-ÖØ-öø-į]+")
 #: the split pattern of the tokenizer file for words that PLAIN takes
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-į]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-į]+")
 
+#: fixed values: what a tokenizer file must say for its words to be encoded one by one
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those that this module knows: then ids of words in a row are ids of the text."""
+    steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first, model = steps[0], settings.get("model") or {}
+    split = first.get("type") == "Split" and first.get("pattern") == {"Regex": PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+    rest = [s.get("type") for s in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    plain = not settings.get("post_processor") and model.get("type") == "BPE" and not model.get("dropout")
+    return split and rest and plain and settings.get("normalizer") == NORMALIZER and not any(" " in t["content"] for t in settings.get("added_tokens") or ())
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write printable bytes as themselves and the others from U+0100 up."""
@@ -26,11 +42,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    def __init__(self, path: str, room: int = 400_000) -> None:
+    def __init__(self, path: str, room: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        with open(path, encoding="utf-8") as file:
+            self.by_word = splits_at_spaces(json.load(file))
         self.room = room
         self.letters = _byte_letters()
         self.words: dict[bytes, bytes] = {}
@@ -51,6 +69,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, unsigned 32-bit little-endian."""
+        if not self.by_word:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
         words = text.encode().split()
         known = self.words
         try:

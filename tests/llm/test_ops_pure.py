@@ -71,6 +71,24 @@ def test_word_encoder_equals_the_library():
         assert words.encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        settings = json.load(f)
+    assert WordEncoder(tokenizer_path("word_bpe_49k.json")).by_word
+    settings["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]+"
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(settings, f)
+    words, whole = WordEncoder(path), Tokenizer.from_file(path)
+    assert not words.by_word
+    for t in ("it's 1234 a1b2", "", "x  y"):
+        assert words.encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 # suffixes
 def removed(texts: dict[int, bytes], least: int) -> dict[int, bytes]:
     seen: dict[bytes, int] = {}

@@ -166,6 +166,20 @@ def test_near_duplicates_lose_no_link(spark, block):
     assert got == label
 
 
+def test_large_buckets_are_divided_by_further_bands(spark):
+    """Many texts that share most words but few of which are similar enough, with buckets of more than two as large."""
+    r = np.random.default_rng(3)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(k, " ".join(common + [f"p{k // 2}w{i}" for i in range(20)] + [f"own{k}x{i}" for i in range(2)])) for k in range(80)]
+    rows = [rows[i] for i in r.permutation(len(rows))]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    similar = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    label = {i: min(j for j in sets if similar(i, j)) for i in sets}
+    assert len(set(label.values())) == 40 and not similar(0, 2)
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=2).collect()}
+    assert got == label
+
+
 def test_repeats(docs, none):
     got = {(r.doc_id, r.n_bytes): r for r in suffixes.remove_repeats(docs, give_text=True, block_bytes=100_000).collect()}
     assert len(got) == len(ROWS) - 1
