@@ -16,7 +16,8 @@ For a model of unigram type, ``best_path`` is the Viterbi fold on the same latti
 
 Blocks of documents, made where they are read, ask the parts of the key space for their different units and
 get ids back in order, so no join carries every word of every document, and no text is shuffled: a block's
-note to itself has its texts as numbers of words. A text's decoding is compared by a 128-bit hash.
+note to itself has its texts as numbers of words. Decoding joins what the ids of the units stand for, so whether
+a text comes back from it is told by its units, each decoded once where it is encoded.
 
 Defined cases: null text counts as empty; an empty text has no ids; characters without a piece become
 byte pieces; rows with equal or null ids are encoded each for itself; extra columns are dropped.
@@ -35,7 +36,6 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -152,22 +152,24 @@ def _block(pieces: Pieces, rows: list[tuple[int | None, str]], own: int, seq: in
         words = _words(t, pieces)
         texts.append(np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words)))
     several: dict[int, list[str]] = {}  # words that are not a unit as they stand
-    for k, w in enumerate(numbers):
+    words_of = list(numbers)
+    for k, w in enumerate(words_of):
         if not (w[1:] if w[0] == " " else w).isalpha() or len(w) > 24:
             units = pieces.units(w)
             if units != [w]:
                 several[k] = units
-    every = {w for k, w in enumerate(numbers) if k not in several}.union(*several.values())
+    every = {w for k, w in enumerate(words_of) if k not in several}.union(*several.values())
     asked: dict[int, list[str]] = defaultdict(list)
     for u in sorted(every):
         asked[_part(u, parts)].append(u)
     z = zstandard.ZstdCompressor(level=1)
     order = sorted(asked)
     place = {u: k for k, u in enumerate(u for p in order for u in asked[p])}
-    heads = [(i, len(t), xxhash.xxh3_128_digest(t.encode())) for i, t in rows]
-    of_word = [[place[w]] if k not in several else [place[u] for u in several[k]] for k, w in enumerate(numbers)]
+    # a text is its words in a row; a word that is not its units in a row will not come back from decoding
+    strange = [k for k, units in several.items() if "".join(units) != words_of[k]]
+    of_word = [[place[w]] if k not in several else [place[u] for u in several[k]] for k, w in enumerate(words_of)]
     arrays = [[len(t) for t in texts], np.concatenate(texts), [len(us) for us in of_word], [u for us in of_word for u in us]]
-    note = pickle.dumps((seq, order, heads, [squeeze(np.array(x, np.uint64)) for x in arrays]))
+    note = pickle.dumps((seq, order, [i for i, _ in rows], strange, [squeeze(np.array(x, np.uint64)) for x in arrays]))
     sent = bundled([(p, (seq, z.compress("\0".join(u.replace("\0", "\1\1") for u in us).encode()))) for p, us in asked.items()], own, parts)
     return pd.concat([pd.DataFrame({"at": [-1 - own], "source": own, "data": [note]}), sent])
 
@@ -274,6 +276,7 @@ def _answer(path: str, blocks: int):
         place = encoded["uid"].to_numpy(np.int64) >> LENGTH_BITS & (1 << PLACE_BITS) - 1
         borders = dict(zip(place.tolist(), encoded["borders"].tolist(), strict=True))
         ids: dict[str, bytes] = {}
+        same: dict[str, bool] = {}
         for k, unit in enumerate(units):
             n = len(unit)
             if n > BITS:
@@ -286,6 +289,7 @@ def _answer(path: str, blocks: int):
                 at = [i for i, c in enumerate(bin(bits)[:1:-1]) if c == "1"]
                 got = [x for a, b in zip(at, at[1:], strict=False) for x in pieces.of(unit[a:b])]
             ids[unit] = np.array(got, "<u4").tobytes()
+            same[unit] = pieces.bytes_of(got) == unit.encode()
         z = zstandard.ZstdCompressor(level=1)
         answers = []
         for own, seq, us in questions:
@@ -293,19 +297,21 @@ def _answer(path: str, blocks: int):
             sizes = np.array([len(g) // 4 for g in got], "<u4").tobytes()
             flat = np.frombuffer(b"".join(got), "<u4")
             # two byte planes: ids below 65,536 have nothing in the third and fourth
-            answers.append((own, (seq, z.compress(pickle.dumps((sizes, np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()))))))
+            planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()
+            strange = [k for k, u in enumerate(us) if not same[u]]
+            answers.append((own, (seq, z.compress(pickle.dumps((sizes, planes, strange))))))
         return bundled(answers, part, blocks)
 
     return run
 
 
-def _encoded(path: str, give_ids: bool):
+def _encoded(give_ids: bool):
     def run(notes: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(notes) and notes["at"].iloc[0] < 0:
             got = {(p, seq): data for p, (seq, data) in opened(answers)}
             for data in notes["data"]:
-                out += _texts(pieces_of(path), *pickle.loads(data), got, give_ids)
+                out += _texts(*pickle.loads(data), got, give_ids)
             del got
             let_go()
         columns = list(zip(*out, strict=True)) or [()] * (4 + give_ids)
@@ -315,32 +321,32 @@ def _encoded(path: str, give_ids: bool):
     return run
 
 
-def _texts(pieces: Pieces, seq: int, order: list[int], heads: list[tuple], arrays: list[bytes], got: dict, give_ids: bool) -> Iterator[tuple]:
+def _texts(seq: int, order: list[int], ids: list[int | None], strange: list[int], arrays: list[bytes], got: dict, give_ids: bool) -> Iterator[tuple]:
     """The ids of the texts of a block, from its note and the answers to what it asked."""
     z = zstandard.ZstdDecompressor()
     units: list[bytes] = []
+    lost: set[int] = set()  # units that decoding does not give back
     for p in order:
-        sizes, planes = pickle.loads(z.decompress(got[p, seq]))
+        sizes, planes, odd = pickle.loads(z.decompress(got[p, seq]))
         flat = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).tobytes()
+        lost.update(len(units) + k for k in odd)
         at = 0
         for e in (np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)) * 4).tolist():
             units.append(flat[at:e])
             at = e
     lengths, words, counts, parts = (expand(x).astype(np.int64).tolist() for x in arrays)
-    whole, at = [], 0
+    whole, at, bad = [], 0, set(strange)
     for n in counts:
         whole.append(units[parts[at]] if n == 1 else b"".join([units[u] for u in parts[at : at + n]]))
+        if lost and not lost.isdisjoint(parts[at : at + n]):
+            bad.add(len(whole) - 1)
         at += n
-    # decoding joins what the pieces stand for, so a word is decoded once
-    back = [pieces.bytes_of(np.frombuffer(x, "<u4").tolist()) for x in whole]
     at = 0
-    for (i, size, digest), n in zip(heads, lengths, strict=True):
+    for i, n in zip(ids, lengths, strict=True):
         mine = words[at : at + n]
         at += n
         data = b"".join([whole[w] for w in mine])
-        text = b"".join([back[w] for w in mine])[1:]
-        same = not n if not size else xxhash.xxh3_128_digest(text) == digest
-        yield (i, len(data) // 4, zlib.crc32(data), same, *([np.frombuffer(data, "<u4").astype(np.int32)] if give_ids else []))
+        yield (i, len(data) // 4, zlib.crc32(data), not bad or bad.isdisjoint(mine), *([np.frombuffer(data, "<u4").astype(np.int32)] if give_ids else []))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", give_ids: bool = True, block_bytes: int = 8_000_000) -> DataFrame:
@@ -361,7 +367,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     answers = delivered(asked.groupBy("at").cogroup(merged.groupBy("part")).applyInPandas(_answer(path, blocks), BUNDLE), blocks)
     kind = "id long, n_pieces long, ids_crc32 long, decoded_equal boolean" + (", ids array<int>" if give_ids else "")
     answers = answers.withColumn("at", -1 - F.col("at"))
-    out = asked.groupBy("at").cogroup(answers.groupBy("at")).applyInPandas(_encoded(path, give_ids), kind)
+    out = asked.groupBy("at").cogroup(answers.groupBy("at")).applyInPandas(_encoded(give_ids), kind)
     return out.withColumnRenamed("id", id_col)
 
 

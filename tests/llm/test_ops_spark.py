@@ -225,6 +225,34 @@ def test_sentencepieces(docs, none):
     texts = {r.doc_id: r.text for r in sentencepieces.decode(encoded.select("doc_id", "ids"), path).collect()}
     assert all(texts[i] == (t or "") for i, t in ROWS)
     assert sentencepieces.encode(none, path).collect() == []
+    # the sign that stands for a space does not come back
+    odd = frame(docs.sparkSession, [(1, "a\u2581b"), (2, "a b"), (3, "x \u2581"), (4, "\u2581")])
+    for r in sentencepieces.encode(odd, path).join(odd.select("doc_id", "text"), "doc_id").collect():
+        assert r.ids == library.encode(r.text) and r.decoded_equal == (library.decode(r.ids) == r.text)
+
+
+def test_viterbi_on_the_lattice_equals_brute_force(spark):
+    """The fold for models of unigram type: the path with the highest sum of scores."""
+    r = np.random.default_rng(7)
+    pieces = {"".join(r.choice(list("abc"), k)): float(r.normal() - 3) for k in (2, 2, 2, 3, 3, 3, 4, 4) for _ in range(4)}
+    alone = {c: float(r.normal() - 4) for c in "abc"}
+    ranks = sorted(pieces)
+    texts = sorted({"".join(r.choice(list("abc"), n)) for n in range(2, 11) for _ in range(6)})
+
+    def best(text):
+        if not text:
+            return 0.0
+        return max(s + best(text[len(p) :]) for p, s in (pieces | alone).items() if text.startswith(p))
+
+    units = spark.createDataFrame(list(enumerate(texts)), "uid long, unit string")
+    table = spark.createDataFrame([(p, i) for i, p in enumerate(ranks)], "piece string, rank long")
+    edges = units.join(sentencepieces.lattice(units, table, 4), "uid", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<bigint>")))
+    single = F.transform(F.split("unit", ""), lambda c: F.element_at(F.create_map(*(F.lit(x) for pair in alone.items() for x in pair)), c))
+    scores = F.array(*(F.lit(pieces[p]) for p in ranks))
+    for row in edges.select("unit", sentencepieces.best_path(F.char_length("unit"), F.col("edges"), scores, single).alias("borders")).collect():
+        at = [i for i in range(len(row.unit) + 1) if row.borders >> i & 1]
+        assert at[0] == 0 and at[-1] == len(row.unit)
+        assert sum((pieces | alone)[row.unit[a:b]] for a, b in zip(at, at[1:], strict=False)) == pytest.approx(best(row.unit))
 
 
 def test_surrogates(spark, docs, none):
