@@ -39,8 +39,8 @@ from recordlake.llm.common import appended
 
 LEVEL = 3
 ORDINARY, TOXIC = 16_384, 1_024  # bytes of the two parts of a dictionary
-SEGMENTS = (16, 20, 24)  # segment lengths, one toxic dictionary each
-GRAM, NEWS, LEAST = 7, 6.0, 5  # bytes; how many times as often in toxic texts; in so many of them at least
+SEGMENTS = (16, 20, 24, 28, 32)  # segment lengths, one toxic dictionary each
+GRAM, NEWS, LEAST = 7, 6.0, 8  # bytes; how many times as often in toxic texts; in so many of them at least
 TOP, NOTABLE = 4, (2.0, 3.0)
 #: bytes that no text has
 NOTHING = bytes([*range(1, 9), 11, *range(14, 32)]) * (TOXIC // 26)
