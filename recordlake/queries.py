@@ -17,6 +17,7 @@ from recordlake.operators import index, log, runs, state
 from recordlake.operators.ranges import key_range, ranked
 from recordlake.plans import query
 from recordlake.sources.changelog import events_log, key_of, records_log
+from recordlake.sources.store import Options, RecordStore
 from recordlake.streaming.replay import read_changes, replay
 
 QUERIES: dict = {}
@@ -432,6 +433,130 @@ def stream_replay(spark, d):
     return replay(changes, f"{base}/state-{run}", f"{base}/replay-{run}").select("table_name", "key", "data", "seq")
 
 
+# the persistent store, end to end
+
+
+def _store(spark, **options):
+    """A new store in the shared folder. What these queries return reads its files, so it stays."""
+    return RecordStore(spark, f"{_base(spark)}/store-{uuid.uuid4().hex}", Options(**options) if options else None)
+
+
+def _customers(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", key_of(F.lit("c"), F.col("c_custkey")).alias("key"))
+
+
+def _save(store, table, df, order="c_custkey", data="c_name", fields=None):
+    return store.open_table(table).save_frame(df, F.col("key"), F.col(data), order, fields)
+
+
+KEYED = "keyed AS (SELECT *, md5(concat_ws('|', 'c', c_custkey))::UUID::VARCHAR AS key FROM customer)"
+
+
+@register(f"WITH {KEYED} SELECT key, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS data FROM keyed WHERE c_custkey % 10 <> 7")
+def store_batches(spark, d):
+    """Batches that insert, replace and delete; closed, opened again and scanned."""
+    c = _customers(spark, d)
+    with _store(spark) as s:
+        assert _save(s, "customer", c) == c.count()
+        _save(s, "customer", c.filter("c_custkey % 3 = 0"), data="c_mktsegment")
+        gone = c.filter("c_custkey % 10 = 7").select("key")
+        s.open_table("customer").delete_frame(gone, F.col("key"))
+        s.checkpoint()
+    again = RecordStore(spark, s.path)
+    return again.open_table("customer").filter().select("key", text_lenient(F.col("data")).alias("data"))
+
+
+@register(f"WITH {KEYED} SELECT key, c_name || ' again' AS data, 2::BIGINT AS times FROM keyed WHERE c_custkey IN (1, 2) UNION ALL SELECT key, NULL, 0 FROM keyed WHERE c_custkey IN (3, 4)")
+def store_single_saves(spark, d):
+    """Every way to save one record, replaced and deleted, read by point lookup."""
+    rows = {r.c_custkey: r for r in _customers(spark, d).filter("c_custkey BETWEEN 1 AND 4").collect()}
+    with _store(spark) as s:
+        t = s.open_table("customer")
+        for suffix in ("", " again"):
+            t.save(rows[1].key, rows[1].c_name + suffix)
+            t.save(rows[2].key, rows[2], data_selector=lambda r, suffix=suffix: (r.c_name + suffix).encode())
+        t.save_batch([rows[3], rows[4]], lambda r: r.key, lambda r: r.c_name)
+        t.delete(rows[3].key)
+        t.delete_batch([rows[4]], lambda r: r.key)
+        found = [(r.key, t.get(r.key)) for r in rows.values()]
+        log = {r.key: r.n for r in s.changelog().filter("op = 'S'").groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return spark.createDataFrame([(k, bytes(r.data).decode() if r else None, log[k] if r else 0) for k, r in found], "key string, data string, times long")
+
+
+@register(f"WITH {KEYED} SELECT key, c_name AS data FROM keyed WHERE c_mktsegment = 'BUILDING' AND c_custkey % 5 <> 1")
+def store_index_filter(spark, d):
+    """Records by a stored index: several runs, merged, and rows that have left the value."""
+    c = _customers(spark, d)
+    s = _store(spark, index_flush=10, index_merge=3)
+    s.open_table("customer").ensure_index("segment")
+    fields = F.create_map(F.lit("segment"), F.col("c_mktsegment"))
+    for k in range(4):
+        _save(s, "customer", c.filter(f"c_custkey % 4 = {k}"), fields=fields)
+    _save(s, "customer", c.filter("c_custkey % 5 = 1"), fields=F.create_map(F.lit("segment"), F.lit("moved")))
+    return s.open_table("customer").filter("segment", "BUILDING").select("key", text_lenient(F.col("data")).alias("data"))
+
+
+@register("SELECT 'customer' AS table_name, count(*) AS n_records, 0::BIGINT AS n_indexes FROM customer WHERE c_nationkey < 12 UNION ALL SELECT 'kept', count(*), 1 FROM customer")
+def store_catalog(spark, d):
+    """Tables dropped and truncated, with their indexes; what is written after."""
+    c = _customers(spark, d)
+    with _store(spark) as s:
+        for name in ("customer", "kept", "dropped"):
+            _save(s, name, c)
+            s.open_table(name).ensure_index("segment")
+            s.open_table(name).ensure_index("name")
+        s.open_table("kept").drop_index("name")
+        assert s.drop_table("dropped") == s.open_table("customer").truncate() == c.count()
+        _save(s, "customer", c.filter("c_nationkey < 12"))
+        infos = [s.open_table(t).info() for t in s.list_tables()]
+        rows = [(i["table_name"], i["record_count"], len(i["indexes"])) for i in infos]
+    return spark.createDataFrame(rows, "table_name string, n_records long, n_indexes long")
+
+
+@register(f"WITH {KEYED} SELECT key, c_name AS data, (SELECT count(*) FROM keyed WHERE c_custkey % 4 = 1) AS removed, (SELECT count(*) FROM keyed WHERE c_custkey % 4 <> 1) AS log_rows FROM keyed WHERE c_custkey % 4 <> 1")
+def store_compacted(spark, d):
+    """Compaction: what it returns, what it keeps, and that nothing comes back after opening again."""
+    c = _customers(spark, d)
+    with _store(spark, file_bytes=20_000) as s:
+        _save(s, "customer", c, data="c_mktsegment")
+        _save(s, "customer", c)
+        s.open_table("customer").delete_frame(c.filter("c_custkey % 4 = 1"), F.col("key"))
+        removed = s.compact()
+    again = RecordStore(spark, s.path)
+    size = again.changelog().count()
+    found = again.open_table("customer").filter().select("key", text_lenient(F.col("data")).alias("data"))
+    return found.withColumn("removed", F.lit(removed).cast("long")).withColumn("log_rows", F.lit(size).cast("long"))
+
+
+@register(f"WITH {KEYED} SELECT key, c_name AS data FROM keyed WHERE c_mktsegment = 'MACHINERY'")
+def store_stream(spark, d):
+    """The pull stream over a snapshot: later writes do not show."""
+    c = _customers(spark, d)
+    with _store(spark) as s:
+        _save(s, "customer", c)
+        t = s.open_table("customer")
+        rows = t.stream("customer#")
+        first = next(rows)
+        t.truncate()
+        wanted = {r.key for r in c.filter("c_mktsegment = 'MACHINERY'").select("key").collect()}
+        found = [(r.key, bytes(r.data).decode()) for r in [first, *rows] if r.key in wanted]
+    return spark.createDataFrame(found, "key string, data string")
+
+
+@register(f"WITH {KEYED} SELECT key, c_name AS data FROM keyed WHERE c_custkey % 3 = 0")
+def store_damaged_log(spark, d):
+    """A commit whose rows no longer have their checksums ends the log before it."""
+    c = _customers(spark, d)
+    with _store(spark) as s:
+        for k in range(3):
+            _save(s, "customer", c.filter(f"c_custkey % 3 = {k}"))
+        bad = f"{s.path}/{s._current.commits[1]['name']}"
+    rows = spark.read.parquet(bad)
+    rows.withColumn("crc", F.col("crc") + 1).write.parquet(f"{bad}.damaged")
+    spark.read.schema(rows.schema).parquet(f"{bad}.damaged").write.mode("overwrite").parquet(bad)
+    return RecordStore(spark, s.path).open_table("customer").filter().select("key", text_lenient(F.col("data")).alias("data"))
+
+
 @register(f"""WITH {LOG}, {MARKS}, tagged AS (SELECT *, coalesce(max(CASE WHEN op = 'D' THEN seq END) OVER (PARTITION BY table_name, key), -1) AS last_d FROM scoped), {STATE}
 SELECT table_name, key, data, seq, first_seq FROM state WHERE op = 'S' AND contains(lower(data), lower('"K": 6')) ORDER BY first_seq LIMIT 10 OFFSET 2""")
 def flagship(spark, d):

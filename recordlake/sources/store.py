@@ -400,6 +400,22 @@ class RecordTable:
         if keys:
             self.store._append_local([(i, DELETE, self.name, k, None, None) for i, k in enumerate(keys)])
 
+    def delete_frame(self, df: DataFrame, key: Column) -> int:
+        """Delete the different keys of a DataFrame, in one commit, never through the driver; missing keys change nothing."""
+        self.store._ensure_open()
+        keys = df.select(key.cast("string").alias("key")).filter(F.col("key").isNotNull() & (F.col("key") != checks.EMPTY_KEY)).distinct()
+        staged = f"{self.store.path}/staged/{uuid.uuid4().hex}"
+        try:
+            keys.write.parquet(staged)
+            rows = self.store.spark.read.schema("key string").parquet(staged)
+            n = rows.count()
+            if n:  # the keys differ, so they need no order among them
+                rows = rows.withColumn("ord", F.lit(0)).withColumn("op", F.lit(DELETE)).withColumn("table_name", F.lit(self.name)).withColumn("data", F.lit(None)).withColumn("indexed_fields", F.lit(None))
+                self.store._append(rows, n, 1)
+        finally:
+            self.store._fs.delete(self.store._path(staged), True)
+        return n
+
     def truncate(self) -> int:
         return self.store._wipe_table(self.name, TRUNCATE)
 
