@@ -83,23 +83,26 @@ def _grams(data: bytes) -> np.ndarray:
     return out
 
 
-def _in_texts(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
-
-
-def _times(table: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
-    if not len(table[0]):
-        return np.zeros(len(grams), int)
-    at = np.minimum(np.searchsorted(table[0], grams), len(table[0]) - 1)
-    return np.where(table[0][at] == grams, table[1][at], 0)
-
-
-def _news(own: list[bytes], other_texts: int, mine: tuple, others: tuple, least: int) -> Iterator[bytes]:
-    """The runs of strings that ``own`` texts have ``NEWS`` times as often as the others, in ``least`` texts or more."""
-    for data in own:
+def _marks(toxic: list[bytes], ordinary: list[bytes], least: int) -> np.ndarray:
+    """The strings, sorted, that toxic texts have ``NEWS`` times as often as ordinary ones, in ``least`` texts or more.
+
+    Ordinary texts are only asked for the strings that enough toxic ones have, so no table of all strings is held.
+    """
+    keys, own = np.unique(np.concatenate([np.unique(_grams(t)) for t in toxic]), return_counts=True)
+    keys, own = keys[own >= least], own[own >= least]
+    others = np.zeros(len(keys), int)
+    for t in ordinary if len(keys) else ():
+        grams = np.unique(_grams(t))
+        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        others[at[keys[at] == grams]] += 1
+    return keys[(own + 0.5) / (len(toxic) + 1) > NEWS * (others + 0.5) / (len(ordinary) + 1)]
+
+
+def _news(toxic: list[bytes], marks: np.ndarray) -> Iterator[bytes]:
+    """The runs of those strings."""
+    for data in toxic if len(marks) else ():
         grams = _grams(data)
-        a, b = _times(mine, grams), _times(others, grams)
-        at = np.flatnonzero((a >= least) & ((a + 0.5) / (len(own) + 1) > NEWS * (b + 0.5) / (other_texts + 1)))
+        at = np.flatnonzero(marks[np.minimum(np.searchsorted(marks, grams), len(marks) - 1)] == grams)
         change = np.zeros(len(data) + 1, int)
         np.add.at(change, at, 1)
         np.add.at(change, at + GRAM, -1)
@@ -116,10 +119,10 @@ def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
     return got.rjust(size, NOTHING[:1])
 
 
-def _dictionaries(toxic: list[bytes], ordinary: list[bytes], found: tuple[list, list], base: bytes) -> tuple[bytes, ...]:
+def _dictionaries(toxic: list[bytes], ordinary: list[bytes], base: bytes) -> tuple[bytes, ...]:
     # a few texts have nothing in common often enough
     least = max(2, min(LEAST, len(toxic) // 20))
-    news = list(_news(toxic, len(ordinary), _in_texts(found[0]), _in_texts(found[1]), least))
+    news = list(_news(toxic, _marks(toxic, ordinary, least))) if toxic else []
     return tuple(base + _trained(news, TOXIC, k) for k in SEGMENTS)
 
 
@@ -173,12 +176,11 @@ def fit(toxic: list[str], ordinary: list[str], window: int = 64, false_alarms: f
     """Dictionaries and calibration from two lists of texts."""
     texts = [sorted(set(toxic)), sorted(set(ordinary))]
     plain = [[_plain(t) for t in x] for x in texts]
-    grams = [[np.unique(_grams(t)) for t in x] for x in plain]
     cut = [[windows(t, window) for t in x] for x in texts]
     base = _trained([w for x in cut[1] for w in x], ORDINARY, SEGMENTS[-1])
 
     def made(half: slice) -> tuple[bytes, ...]:
-        return _dictionaries(plain[0][half], plain[1][half], (grams[0][half], grams[1][half]), base)
+        return _dictionaries(plain[0][half], plain[1][half], base)
 
     x, y = [], []
     for own, other in ((slice(0, None, 2), slice(1, None, 2)), (slice(1, None, 2), slice(0, None, 2))):
