@@ -152,15 +152,18 @@ def delivered(sent: DataFrame, count: int, fan: int = FAN) -> DataFrame:
     """
     steps = hops(count, fan)
     for level in range(1, steps):
-        width, many = fan ** (steps - 1 - level), fan**level
+        groups = sent.groupBy("at", F.floor(F.col("source") / fan**level))
+        sent = groups.applyInPandas(_carried(fan ** (steps - 1 - level)), BUNDLE)
+    return sent
 
-        def carry(pdf: pd.DataFrame, width: int = width) -> pd.DataFrame:
-            if pdf["at"].iloc[0] < 0:  # no message: what a sender keeps for itself
-                return pdf
-            return _bundles([m for data in pdf["data"] for m in pickle.loads(data)], int(pdf["source"].min()), width)
 
-        sent = sent.groupBy("at", F.floor(F.col("source") / many)).applyInPandas(carry, BUNDLE)
-    return sent
+def _carried(width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["at"].iloc[0] < 0:  # no message: what a sender keeps for itself
+            return pdf
+        return _bundles([m for data in pdf["data"] for m in pickle.loads(data)], int(pdf["source"].min()), width)
+
+    return run
 
 
 def opened(pdf: pd.DataFrame) -> list[tuple[int, object]]:

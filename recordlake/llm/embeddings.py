@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.common import parallelism, written
+from recordlake.llm.common import parallelism, scratch, written
 from recordlake.llm.components import components
 
 LEAF = 256
@@ -184,19 +184,9 @@ def _join_tiles(threshold: float, dims: int):
     return run
 
 
-def embedding_links(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", label: str = "label", threshold: float = 0.93, dims: int = 6, block: int = 2048) -> DataFrame:
-    """One row for each row of ``df``: its id, ``n_links``, ``component_id`` and ``kept``."""
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be above 0 and at most 1")
-    spark = df.sparkSession
-    eps = math.sqrt(2 - 2 * threshold) or 1e-9
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.col(vec).alias("v"))
-    base = base.withColumn("ok", _usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    # two 64-bit hashes stand for the label and the vector
-    base = base.withColumn("h1", F.when(F.col("ok"), F.xxhash64("label", "v"))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "v", "label")))
-    reps = base.filter("ok").groupBy("h1", "h2").agg(F.min(F.struct("id", "label", "v")).alias("r"), F.count(F.lit(1)).alias("mult"))
-    reps = reps.select("h1", "h2", "mult", F.col("r.id").alias("id"), F.col("r.v").alias("v"), F.xxhash64(F.col("r.label"), F.size("r.v")).alias("grp"))
-    reps = written(reps, "vectors")
+def _links(reps: DataFrame, threshold: float, eps: float, dims: int, block: int) -> DataFrame:
+    """``id, links, root`` by pair of blocks: linked vectors, and the smallest one of the pair's component."""
+    spark = reps.sparkSession
     axes = principal(reps, dims)
     cells = ", ".join(f"c{i} long" for i in range(dims))
     grid = reps.select("id", "mult", "grp", "v").mapInPandas(_grid(axes, eps, dims), f"id long, mult long, grp long, v array<double>, y array<double>, {cells}")
@@ -218,9 +208,24 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding
     sides = pairs.select(F.col("tp").alias("wp"), F.col("tq").alias("wq"), F.explode(F.array("p", "q")).alias("bid")).distinct()
     work = sides.join(blocks.select("bid", "ids", "mult", "ys", "vs"), "bid")
     joined = pairs.groupBy("tp", "tq").cogroup(work.groupBy("wp", "wq"))
-    found = written(joined.applyInPandas(_join_tiles(threshold, dims), "id long, links long, root long"), "links")
+    return joined.applyInPandas(_join_tiles(threshold, dims), "id long, links long, root long")
+
 
-    parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+def embedding_links(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", label: str = "label", threshold: float = 0.93, dims: int = 6, block: int = 2048) -> DataFrame:
+    """One row for each row of ``df``: its id, ``n_links``, ``component_id`` and ``kept``."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    eps = math.sqrt(2 - 2 * threshold) or 1e-9
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.col(vec).alias("v"))
+    base = base.withColumn("ok", _usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull())
+    # two 64-bit hashes stand for the label and the vector
+    base = base.withColumn("h1", F.when(F.col("ok"), F.xxhash64("label", "v"))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "v", "label")))
+    reps = base.filter("ok").groupBy("h1", "h2").agg(F.min(F.struct("id", "label", "v")).alias("r"), F.count(F.lit(1)).alias("mult"))
+    reps = reps.select("h1", "h2", "mult", F.col("r.id").alias("id"), F.col("r.v").alias("v"), F.xxhash64(F.col("r.label"), F.size("r.v")).alias("grp"))
+    reps = written(reps, "vectors")
+    with scratch():
+        found = written(_links(reps, threshold, eps, dims, block), "links", keep=True)
+        parts = written(components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))), "components", keep=True)
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = reps.select("h1", "h2", "id", "mult").join(counts, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
     known = known.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

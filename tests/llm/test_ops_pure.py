@@ -247,7 +247,7 @@ def sends(blocks, fan, each):
     for level in range(1, steps):
         many, width = fan**level, fan ** (steps - 1 - level)
         groups = sent.groupby(["at", sent["source"] // many])
-        sent = pd.concat([common._bundles([m for d in g["data"] for m in pickle.loads(d)], int(g["source"].min()), width) for _, g in groups])
+        sent = pd.concat([common._carried(width)(g) for _, g in groups])
         rows.append(len(sent))
     return rows, {int(p): common.opened(g) for p, g in sent.groupby("at")}
 

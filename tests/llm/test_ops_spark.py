@@ -11,11 +11,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from recordlake.llm import components, embeddings, fingerprint, lm, minhash, packing, pii, queries, sentencepieces, suffixes, tokencount, toxicity
+from recordlake.llm import common, components, embeddings, fingerprint, lm, minhash, packing, pii, queries, sentencepieces, suffixes, tokencount, toxicity
 from recordlake.llm.common import tokenizer_path
 from test_ops_pure import insulted
 
@@ -42,6 +43,27 @@ def none(spark):
     return frame(spark, [])
 
 
+def test_messages_reach_their_receivers_over_several_shuffles(spark):
+    blocks, fan = 70, 4  # four digits
+    send = lambda pdf: common.bundled([(p, (int(b), p)) for b in pdf["id"] for p in range(int(b) % 3, blocks, 3)], int(pdf["id"].iloc[0]), blocks, fan)
+    sent = spark.range(blocks).groupBy("id").applyInPandas(send, common.BUNDLE)
+    read = lambda pdf: pd.DataFrame([(int(pdf["at"].iloc[0]), b, p) for _, (b, p) in common.opened(pdf)], columns=["at", "b", "p"])
+    got = common.delivered(sent, blocks, fan).groupBy("at").applyInPandas(read, "at long, b long, p long").collect()
+    assert common.hops(blocks, fan) == 4 and all(r["at"] == r.p for r in got)
+    assert sorted((r.b, r.p) for r in got) == [(b, p) for b in range(blocks) for p in range(b % 3, blocks, 3)]
+
+
+def test_results_do_not_depend_on_the_number_of_blocks(docs):
+    """So many blocks that messages take two shuffles."""
+    many = 1000  # bytes a block
+    assert common.hops(common.block_count(docs, "text", many)) == 2
+    path = tokenizer_path("piece_bpe_32k.model")
+    ops = [lambda **a: lm.score_texts(docs, toxicity.held_out("doc_id", 1), **a), lambda **a: suffixes.remove_repeats(docs, **a), lambda **a: sentencepieces.encode(docs, path, give_ids=False, **a)]
+    for op in ops:
+        rows = lambda **a: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in op(**a).collect()), key=repr)  # noqa: B023, E731
+        assert rows(block_bytes=many) == rows()
+
+
 def test_language_model(docs, none):
     held = toxicity.held_out("doc_id", 1)
     got = lm.score_texts(docs, held, block_bytes=100_000).collect()
