@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from recordlake.operators import index, log, state
+from recordlake.operators import index, log, ranges, state
 from recordlake.plans import query
 
 KIND = "seq long, op string, table_name string, key string, data string, indexed_fields map<string,string>"
@@ -96,6 +97,42 @@ def test_running_sums_cross_ranges(spark):
     assert got == {i * 7: sum(range(i)) for i in range(50)}
 
 
+@pytest.mark.parametrize("values", [[], [5], [1, 3, 3, 7, 9, 12]])
+def test_upper_bound(spark, values):
+    df = spark.range(15).select("id", ranges.upper_bound(F.lit(values).cast("array<long>") if values else F.array().cast("array<long>"), F.col("id")).alias("n"))
+    assert {r.id: r.n for r in df.collect()} == {i: bisect.bisect_right(values, i) for i in range(15)}
+
+
+def test_ranks_and_carried_values_equal_one_window(spark):
+    r = random.Random(5)
+    keys = sorted({f"common prefix {r.choice('abä漢')}{r.randrange(10**r.randrange(1, 9))}" for _ in range(400)})
+    rows = [(r.choice("tu"), k, r.randrange(100) if r.random() < 0.3 else None) for k in keys]
+    df = spark.createDataFrame(rows, "table_name string, key string, at long").repartition(5)
+    span = ranges.key_range(df, "key", 16)
+    spread = {x.key: x.n for x in df.select("key", span.alias("n")).collect()}
+    in_order = sorted(keys, key=str.encode)
+    assert [spread[k] for k in in_order] == sorted(spread.values()) and len(set(spread.values())) > 8
+    got = {(x.table_name, x.key): x.place for x in ranges.ranked(df, ["table_name"], ["key"], span, "place").collect()}
+    last = {(x.table_name, x.key): x.v for x in ranges.carried(df, ["table_name"], ["key"], span, "at", "v").collect()}
+    for t in "tu":
+        seen = None
+        for n, (_, k, at) in enumerate(sorted((x for x in rows if x[0] == t), key=lambda x: x[1].encode())):
+            seen = at if at is not None else seen
+            assert got[t, k] == n and last[t, k] == seen
+
+
+def test_deletes_across_ranges(spark):
+    r = random.Random(8)
+    rows = [(seq, r.choice("SSD"), "t", f"k{r.randrange(3)}", "x", None) for seq in range(200)]
+    live, want = set(), set()
+    for seq, op, _, k, *_ in rows:
+        if op == "D" and k in live:
+            want.add(seq)
+        (live.add if op == "S" else live.discard)(k)
+    for width in (7, 64, 1000):
+        assert {x.seq for x in state.effective_deletes(make(spark, rows), width).collect()} == want
+
+
 def test_valid_prefix_and_torn_commit(spark):
     df = spark.createDataFrame([(i, i == 5) for i in range(9)], "seq long, bad boolean")
     assert log.valid_prefix(df, F.col("bad")).count() == 5
