@@ -26,7 +26,18 @@ _OWN_DIR: dict[str, str] = {}
 _SCRATCH: list[list[DataFrame]] = []
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Rows travel to Python 1,000 at a time and not 10,000: whole texts are a few KB and some are MB, and a batch is held
+    several times over, by the JVM outside its heap and by the worker. A number that the session chose itself stays."""
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -107,6 +118,8 @@ def appended(df: DataFrame, text: str, make: Callable[[], Callable[[list], list[
             made = [pa.array(v, t) for v, t in zip(compute(*values), types, strict=True)]
             arrays = [made[0] if replace and f.name == text else batch.column(f.name) for f in kept] + made[replace:]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out])
+        del compute
+        let_go()
 
     return df.mapInArrow(run, StructType(out))
 
@@ -185,6 +198,7 @@ def packed(docs: DataFrame, blocks: int, id_col: str, *values: str) -> DataFrame
             for row, n in rows.items():
                 shares[xxhash.xxh3_64_intdigest(repr(row).encode()) % blocks].append((n, row))
             yield pd.DataFrame({"block": pd.Series(list(shares), dtype="int64"), "docs": [z.compress(pickle.dumps(s)) for s in shares.values()]})
+        let_go()
 
     taken = docs.select(*id_columns(id_col), *(F.col(c).alias(f"v{k}") for k, c in enumerate(values)))
     return taken.mapInPandas(run, "block long, docs binary")

@@ -47,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.common import appended, forget, id_columns, scratch, written
+from recordlake.llm.common import appended, forget, id_columns, let_go, scratch, written
 
 #: fixed values: given names by script and gender, family names by script
 GIVEN = {
@@ -465,6 +465,7 @@ def _read_entities(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             mentions, genders = detect_with_gender(t)
             rows += [(*at, k, n, genders.get((k, n), "u")) for k, n in sorted({(m.kind, m.norm) for m in mentions})]
         yield pd.DataFrame(rows, columns=[*pdf.columns.drop("text"), "kind", "norm", "gender"])
+    let_go()
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
