@@ -6,7 +6,7 @@ runs), ``_LOCK`` the writer. A commit is written to a staging name, renamed, and
 by a rename; a torn write leaves files that no pointer names. All files go through Hadoop's file system API, so the root can
 be on any store that Spark writes to. Reads are lazy plans over immutable files and need no lock.
 
-Opening checks the commits since the last base: a missing or short commit, or a row whose checksum is wrong, ends the log
+Opening checks the commits since the last base (``verify_on_open``): a missing or short commit, or a row whose checksum is wrong, ends the log
 before that commit. Bases are sorted by table, key and seq, so a point read prunes files and row groups by their
 statistics. Marks are in the pointer: a read of a table is a filter, with no job to find them.
 """
@@ -67,6 +67,7 @@ class Options:
     index_flush: int = 4096  # mappings that make a run
     index_merge: int = 4  # runs that are merged to one
     file_bytes: int = 128 << 20  # of a rewritten log
+    verify_on_open: bool = True  # read the commits since the last base and end the log before a damaged one
     lookup: str = "latest"
     reset_on_open: bool = False
     delete_on_close: bool = False
@@ -101,7 +102,8 @@ class RecordStore:
         if self.options.reset_on_open:
             self._wipe()
         self._current = self._load()
-        self._cut_at_damage()
+        if self.options.verify_on_open:
+            self.verify()
 
     # lifecycle
     def __enter__(self) -> RecordStore:
@@ -150,8 +152,9 @@ class RecordStore:
         context.rename(context.makeQualified(staged), context.makeQualified(self._path(f"{self.path}/_CURRENT")), options)
         self._current = current
 
-    def _cut_at_damage(self) -> None:
+    def verify(self) -> None:
         """End the log before the first commit that is not whole; one job over the commits since the base, if there are any."""
+        self._ensure_open()
         now = self._current
         there = [c for c in now.commits if self._fs.exists(self._path(f"{self.path}/{c['name']}"))]
         found = {}
