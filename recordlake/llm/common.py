@@ -236,6 +236,16 @@ def dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield p, at
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for garbage while a block builds its tables: it would walk all of them again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def let_go() -> None:
     """Give memory that a large group has left behind back to the system; workers live on and are reused."""
     gc.collect()

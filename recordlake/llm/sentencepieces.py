@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.common import BUNDLE, block_count, bundled, delivered, exact_ids, id_columns, known_ids, let_go, opened, parallelism
+from recordlake.llm.common import BUNDLE, block_count, bundled, delivered, exact_ids, id_columns, known_ids, let_go, opened, parallelism, uncollected
 from recordlake.llm.lm import expand, squeeze
 
 SPACE = "▁"
@@ -167,8 +167,15 @@ def _block(pieces: Pieces, rows: list[tuple[int | None, str]], own: int, seq: in
     place = {u: k for k, u in enumerate(u for p in order for u in asked[p])}
     # a text is its words in a row; a word that is not its units in a row will not come back from decoding
     strange = [k for k, units in several.items() if "".join(units) != words_of[k]]
-    of_word = [[place[w]] if k not in several else [place[u] for u in several[k]] for k, w in enumerate(words_of)]
-    arrays = [[len(t) for t in texts], np.concatenate(texts), [len(us) for us in of_word], [u for us in of_word for u in us]]
+    sizes, of_words = [1] * len(words_of), []
+    for k, w in enumerate(words_of):
+        units = several.get(k)
+        if units is None:
+            of_words.append(place[w])
+        else:
+            sizes[k] = len(units)
+            of_words += [place[u] for u in units]
+    arrays = [[len(t) for t in texts], np.concatenate(texts), sizes, of_words]
     note = pickle.dumps((seq, order, [i for i, _ in rows], strange, [squeeze(np.array(x, np.uint64)) for x in arrays]))
     sent = bundled([(p, (seq, z.compress("\0".join(u.replace("\0", "\1\1") for u in us).encode()))) for p, us in asked.items()], own, parts)
     return pd.concat([pd.DataFrame({"at": [-1 - own], "source": own, "data": [note]}), sent])
@@ -184,10 +191,14 @@ def _read(path: str, parts: int, block_bytes: int):
                 rows.append(row)
                 size += len(row[1])
                 if size >= block_bytes:
-                    yield _block(pieces, rows, own, seq, parts)
+                    with uncollected():
+                        made = _block(pieces, rows, own, seq, parts)
+                    yield made
                     seq, size, rows = seq + 1, 0, []
         if rows:
-            yield _block(pieces, rows, own, seq, parts)
+            with uncollected():
+                made = _block(pieces, rows, own, seq, parts)
+            yield made
         del rows
         let_go()
 
@@ -270,36 +281,37 @@ def _answer(path: str, blocks: int):
     def run(asked: pd.DataFrame, encoded: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or asked["at"].iloc[0] < 0:
             return bundled([], 0, blocks)
-        pieces, part = pieces_of(path), int(asked["at"].iloc[0])
-        questions = [(own, seq, _list(data)) for own, (seq, data) in opened(asked)]
-        units = _union([us for _, _, us in questions])
-        place = encoded["uid"].to_numpy(np.int64) >> LENGTH_BITS & (1 << PLACE_BITS) - 1
-        borders = dict(zip(place.tolist(), encoded["borders"].tolist(), strict=True))
-        ids: dict[str, bytes] = {}
-        same: dict[str, bool] = {}
-        for k, unit in enumerate(units):
-            n = len(unit)
-            if n > BITS:
-                got = pieces.merged(unit)
-            elif (bits := borders.get(k)) is None:
-                got = [x for c in unit for x in pieces.of(c)]
-            elif bits == 1 | 1 << n:
-                got = pieces.of(unit)
-            else:
-                at = [i for i, c in enumerate(bin(bits)[:1:-1]) if c == "1"]
-                got = [x for a, b in zip(at, at[1:], strict=False) for x in pieces.of(unit[a:b])]
-            ids[unit] = np.array(got, "<u4").tobytes()
-            same[unit] = pieces.bytes_of(got) == unit.encode()
-        z = zstandard.ZstdCompressor(level=1)
-        answers = []
-        for own, seq, us in questions:
-            got = [ids[u] for u in us]
-            sizes = np.array([len(g) // 4 for g in got], "<u4").tobytes()
-            flat = np.frombuffer(b"".join(got), "<u4")
-            # two byte planes: ids below 65,536 have nothing in the third and fourth
-            planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()
-            strange = [k for k, u in enumerate(us) if not same[u]]
-            answers.append((own, (seq, z.compress(pickle.dumps((sizes, planes, strange))))))
+        with uncollected():
+            pieces, part = pieces_of(path), int(asked["at"].iloc[0])
+            questions = [(own, seq, _list(data)) for own, (seq, data) in opened(asked)]
+            units = _union([us for _, _, us in questions])
+            place = encoded["uid"].to_numpy(np.int64) >> LENGTH_BITS & (1 << PLACE_BITS) - 1
+            borders = dict(zip(place.tolist(), encoded["borders"].tolist(), strict=True))
+            ids: dict[str, bytes] = {}
+            same: dict[str, bool] = {}
+            for k, unit in enumerate(units):
+                n = len(unit)
+                if n > BITS:
+                    got = pieces.merged(unit)
+                elif (bits := borders.get(k)) is None:
+                    got = [x for c in unit for x in pieces.of(c)]
+                elif bits == 1 | 1 << n:
+                    got = pieces.of(unit)
+                else:
+                    at = [i for i, c in enumerate(bin(bits)[:1:-1]) if c == "1"]
+                    got = [x for a, b in zip(at, at[1:], strict=False) for x in pieces.of(unit[a:b])]
+                ids[unit] = np.array(got, "<u4").tobytes()
+                same[unit] = pieces.bytes_of(got) == unit.encode()
+            z = zstandard.ZstdCompressor(level=1)
+            answers = []
+            for own, seq, us in questions:
+                got = [ids[u] for u in us]
+                sizes = np.array([len(g) // 4 for g in got], "<u4").tobytes()
+                flat = np.frombuffer(b"".join(got), "<u4")
+                # two byte planes: ids below 65,536 have nothing in the third and fourth
+                planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()
+                strange = [k for k, u in enumerate(us) if not same[u]]
+                answers.append((own, (seq, z.compress(pickle.dumps((sizes, planes, strange))))))
         return bundled(answers, part, blocks)
 
     return run
@@ -310,8 +322,9 @@ def _encoded(give_ids: bool):
         out: list[tuple] = []
         if len(notes) and notes["at"].iloc[0] < 0:
             got = {(p, seq): data for p, (seq, data) in opened(answers)}
-            for data in notes["data"]:
-                out += _texts(*pickle.loads(data), got, give_ids)
+            with uncollected():
+                for data in notes["data"]:
+                    out += _texts(*pickle.loads(data), got, give_ids)
             del got
             let_go()
         columns = list(zip(*out, strict=True)) or [()] * (4 + give_ids)
