@@ -112,7 +112,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, window: int, keep: list[s
         encoder = WordEncoder(path)
 
         def run(texts: list[str | None]) -> list[list]:
-            whole = [encoder.encode(t or "").tobytes() + end for t in texts]
+            whole = [encoder.encode(t or "") + end for t in texts]
             return [[len(ids) // 4 for ids in whole], [[zlib.crc32(ids[i : i + 4 * window]) for i in range(0, len(ids), 4 * window)] for ids in whole]]
 
         return run

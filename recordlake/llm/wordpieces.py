@@ -5,13 +5,14 @@ split pattern act inside a word), so a text's ids are its words' ids in a row. W
 letters, digits and ASCII signs are split by the file's own pattern and encoded by its BPE model; any
 other word (other scripts, combining marks, unusual white space, special tokens) goes through the whole
 tokenizer. A file with another normal form or split pattern than the ones written here goes through the library, text
-by text. The caches are bounded: each starts anew when full.
+by text. The cache is bounded: it starts anew when full.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -41,47 +42,48 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """The ids of words; one that is not there is encoded. It starts anew when full."""
+
+    def __init__(self, encode: Callable[[bytes], bytes], room: int) -> None:
+        super().__init__()
+        self.encode, self.room = encode, room
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.encode(word)
+        if len(self) >= self.room:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
-    def __init__(self, path: str, room: int = 200_000) -> None:
+    def __init__(self, path: str, room: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         with open(path, encoding="utf-8") as file:
             self.by_word = splits_at_spaces(json.load(file))
-        self.room = room
         self.letters = _byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known = _Known(self._word, room)
 
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            shown = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-            found = self.parts[part] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-        return found
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self._part, SPLIT.findall(text.lower())))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
+        if not PLAIN.fullmatch(text) or "<|" in text:
+            return self._whole(text)
+        parts = SPLIT.findall(text.lower())
+        if parts != [text]:  # parts are words too, and often known
+            return b"".join([self.known[part.encode()] for part in parts])
+        shown = text if text.isascii() else "".join([self.letters[b] for b in word])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+
+    def encode(self, text: str) -> bytes:
         """The ids of a whole text, unsigned 32-bit little-endian."""
         if not self.by_word:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words = text.encode().split()
-        known = self.words
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
-        except KeyError:
-            pass
-        if len(known) > self.room:
-            known = self.words = {}
-        if len(self.parts) > self.room:
-            self.parts = {}
-        for w in words:
-            if w not in known:
-                known[w] = self._word(w)
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+            return self._whole(text)
+        known = self.known
+        return b"".join([known[w] for w in text.encode().split()])
