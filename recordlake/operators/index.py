@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.operators.ranges import carried, key_range, ranked
@@ -66,18 +66,18 @@ def runs_left(flushes: DataFrame, trigger: int) -> DataFrame:
     return flushes.select("table_name", "field", n.alias("flushes"), left.cast("long").alias("runs"))
 
 
-def sparse_entries(sorted_keys: DataFrame, step: int = SPARSE_STEP) -> DataFrame:
-    """Every ``step``-th of (``table_name, key, at``), by key, from the first on."""
-    found = ranked(sorted_keys, ["table_name"], ["key"], key_range(sorted_keys, "key"), "place")
+def sparse_entries(sorted_keys: DataFrame, step: int = SPARSE_STEP, ranges: Column | None = None) -> DataFrame:
+    """Every ``step``-th of (``table_name, key, at``), by key, from the first on; ``ranges``: the key's, if already known."""
+    found = ranked(sorted_keys, ["table_name"], ["key"], key_range(sorted_keys, "key") if ranges is None else ranges, "place")
     return found.filter(F.col("place") % step == 0).drop("place")
 
 
-def sparse_floor(probes: DataFrame, entries: DataFrame) -> DataFrame:
+def sparse_floor(probes: DataFrame, entries: DataFrame, ranges: Column | None = None) -> DataFrame:
     """As-of: for each probe (``table_name, key``) the ``at`` of the greatest entry not over it, else 0.
 
     Probes and entries are merged and carried forward, so nothing is paired with anything.
     """
     both = probes.select("table_name", "key", F.lit(None).cast("long").alias("at"), F.lit(1).alias("probe")).unionByName(
         entries.select("table_name", "key", F.col("at").cast("long").alias("at"), F.lit(0).alias("probe")))
-    found = carried(both, ["table_name"], ["key", "probe"], key_range(both, "key"), "at", "floor")
+    found = carried(both, ["table_name"], ["key", "probe"], key_range(both, "key") if ranges is None else ranges, "at", "floor")
     return found.filter("probe = 1").select("table_name", "key", F.coalesce("floor", F.lit(0)).alias("floor"))

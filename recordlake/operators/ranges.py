@@ -26,14 +26,15 @@ def upper_bound(values: Column, probe: Column) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi")), step, lambda s: s["lo"])
 
 
-def key_range(df: DataFrame, key: str, ranges: int = 256) -> Column:
-    """The number of a key's range, which never falls as the key rises; about even ranges.
+def key_range(df: DataFrame, key: str, rows: int = 1_000_000, most: int = 256) -> Column:
+    """The number of a key's range, which never falls as the key rises; even ranges of about ``rows`` rows, ``most`` at most.
 
-    The driver holds the least and the greatest key and at most ``ranges`` quantiles, of the seven bytes after the prefix
+    The driver holds the least and the greatest key and at most ``most`` quantiles, of the seven bytes after the prefix
     that all keys have.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
+    low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    ranges = min(most, -(-n // rows))
+    if ranges <= 1:
         return F.lit(0)
     shared = len(os.path.commonprefix([low.encode(), high.encode()]))
     digits = F.rpad(F.hex(F.substring(F.encode(F.col(key), "UTF-8"), shared + 1, 7)), 14, "0")

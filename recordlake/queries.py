@@ -264,10 +264,11 @@ e AS (SELECT key, (n - 1) * 305 AS at FROM k WHERE (n - 1) % 64 = 0)
 SELECT 'customer' AS table_name, s.s_name AS key, coalesce(e.at, 0)::BIGINT AS floor FROM (SELECT DISTINCT replace(s_name, 'Supplier', 'Customer') AS s_name FROM supplier) s ASOF LEFT JOIN e ON s.s_name >= e.key""")
 def sparse_floor(spark, d):
     c = _t(spark, d, "customer").select(F.lit("customer").alias("table_name"), F.col("c_name").alias("key"))
-    placed = ranked(c, ["table_name"], ["key"], key_range(c, "key"), "place")
-    entries = index.sparse_entries(placed.select("table_name", "key", (F.col("place") * 305).alias("at")))
+    span = key_range(c, "key")  # one look at the keys serves all three steps
+    placed = ranked(c, ["table_name"], ["key"], span, "place")
+    entries = index.sparse_entries(placed.select("table_name", "key", (F.col("place") * 305).alias("at")), ranges=span)
     probes = _t(spark, d, "supplier").select(F.lit("customer").alias("table_name"), F.expr("replace(s_name, 'Supplier', 'Customer')").alias("key")).distinct()
-    return index.sparse_floor(probes, entries)
+    return index.sparse_floor(probes, entries, span)
 
 
 # catalog

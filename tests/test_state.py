@@ -108,7 +108,7 @@ def test_ranks_and_carried_values_equal_one_window(spark):
     keys = sorted({f"common prefix {r.choice('abä漢')}{r.randrange(10**r.randrange(1, 9))}" for _ in range(400)})
     rows = [(r.choice("tu"), k, r.randrange(100) if r.random() < 0.3 else None) for k in keys]
     df = spark.createDataFrame(rows, "table_name string, key string, at long").repartition(5)
-    span = ranges.key_range(df, "key", 16)
+    span = ranges.key_range(df, "key", 25)
     spread = {x.key: x.n for x in df.select("key", span.alias("n")).collect()}
     in_order = sorted(keys, key=str.encode)
     assert [spread[k] for k in in_order] == sorted(spread.values()) and len(set(spread.values())) > 8
