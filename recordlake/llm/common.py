@@ -59,14 +59,14 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: this cuts lineage.
 
-    A surrounding ``scratch`` deletes the table when it ends, unless ``keep``.
+    A surrounding ``scratch`` deletes the table when it ends, or with ``keep`` the one around that, if there is one.
     """
     path = f"{shared_dir(df.sparkSession)}/recordlake/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._recordlake_path = path  # type: ignore[attr-defined]
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(out)
+    for scope in (_SCRATCH[:-1] if keep else _SCRATCH)[-1:]:
+        scope.append(out)
     return out
 
 
@@ -124,11 +124,6 @@ def appended(df: DataFrame, text: str, make: Callable[[], Callable[[list], list[
     return df.mapInArrow(run, StructType(out))
 
 
-def block_of(col: Column, blocks: int) -> Column:
-    """A block number that depends on the value alone, so a lost task computes the same one."""
-    return F.pmod(F.xxhash64(col), F.lit(blocks)).cast("int")
-
-
 #: a bundle of messages: where it is on its way to, the smallest number of its senders, the messages
 BUNDLE = "at long, source long, data binary"
 FAN = 256

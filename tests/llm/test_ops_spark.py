@@ -43,6 +43,20 @@ def none(spark):
     return frame(spark, [])
 
 
+def test_tables_go_with_the_scope_that_needs_them(spark):
+    there = lambda df: os.path.isdir(df._recordlake_path.removeprefix("file://"))
+    with common.scratch():
+        a = common.written(spark.range(3), "a")
+        with common.scratch():
+            b, c = common.written(a, "b"), common.written(a, "c", keep=True)
+            assert there(b) and there(c)
+        assert there(a) and there(c) and not there(b) and c.count() == 3
+        d = common.written(c, "d", keep=True)
+    assert there(d) and not there(a) and not there(c)
+    common.forget(d)
+    assert not there(d)
+
+
 def test_messages_reach_their_receivers_over_several_shuffles(spark):
     blocks, fan = 70, 4  # four digits
     send = lambda pdf: common.bundled([(p, (int(b), p)) for b in pdf["id"] for p in range(int(b) % 3, blocks, 3)], int(pdf["id"].iloc[0]), blocks, fan)
