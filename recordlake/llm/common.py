@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import mmap
 import pickle
 import tempfile
 import uuid
@@ -24,6 +25,7 @@ from pyspark.sql.types import StructField, StructType
 
 _OWN_DIR: dict[str, str] = {}
 _SCRATCH: list[list[DataFrame]] = []
+PAGE = mmap.PAGESIZE
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -241,14 +243,20 @@ def uncollected() -> Iterator[None]:
         gc.enable()
 
 
+#: bytes that a worker may keep between groups
+KEPT = 220 << 20
+
+
 def let_go() -> None:
-    """Give memory that a large group has left behind back to the system; workers live on and are reused."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    """Give memory that a large group has left behind back to the system, if that is much; workers live on and are reused."""
     try:
+        with open("/proc/self/statm") as numbers:
+            if int(numbers.read().split()[1]) * PAGE < KEPT:
+                return
+        pa.default_memory_pool().release_unused()
         ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    except (OSError, AttributeError):  # another system or C library
+        pa.default_memory_pool().release_unused()
 
 
 def tokenizer_path(name: str) -> str:
