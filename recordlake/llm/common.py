@@ -129,19 +129,31 @@ def appended(df: DataFrame, text: str, make: Callable[[], Callable[[list], list[
 #: a bundle of messages: where it is on its way to, the smallest number of its senders, the messages
 BUNDLE = "at long, source long, data binary"
 FAN = 256
+#: the operators' fan: what a row costs besides its message (some 100 bytes) is a tenth of a block's messages for as many
+#: receivers, while a second shuffle writes all of them once more
+WIDE = 16384
 
 
 def hops(count: int, fan: int = FAN) -> int:
-    """Shuffles that messages to ``count`` receivers take: digits of the receivers' numbers to the base ``fan``."""
+    """Shuffles that messages to ``count`` receivers take: digits of the receivers' numbers to a base of at most ``fan``."""
     n, reach = 1, fan
     while reach < count:
         n, reach = n + 1, reach * fan
     return n
 
 
+def base(count: int, fan: int = FAN) -> int:
+    """The smallest base that has the receivers' numbers in as many digits: with a larger one, a little over ``fan`` receivers
+    would be two leading digits, and one carrier would get most messages of all."""
+    steps, n = hops(count, fan), 2
+    while n**steps < count:
+        n += 1
+    return n
+
+
 def bundled(messages: Iterable[tuple[int, object]], source: int, count: int, fan: int = FAN) -> pd.DataFrame:
     """What a sender emits: its messages (receiver, payload) in at most ``fan`` rows, by the leading digit of the receiver."""
-    return _bundles([(to, source, payload) for to, payload in messages], source, fan ** (hops(count, fan) - 1))
+    return _bundles([(to, source, payload) for to, payload in messages], source, base(count, fan) ** (hops(count, fan) - 1))
 
 
 def _bundles(messages: list[tuple[int, int, object]], source: int, width: int) -> pd.DataFrame:
@@ -156,14 +168,14 @@ def delivered(sent: DataFrame, count: int, fan: int = FAN) -> DataFrame:
     """Bundles carried on until ``at`` is their receiver, by one digit a shuffle.
 
     A row for each pair of sender and receiver would be the square of the input. Here a sender emits at
-    most ``fan`` rows; a hop puts the bundles of ``fan ** level`` neighbouring senders for one prefix together,
+    most ``fan`` rows; a hop puts the bundles of ``base ** level`` neighbouring senders for one prefix together,
     which is about as much as one sender sends, and emits at most ``fan`` rows again. Messages nobody has to
     send are no rows.
     """
-    steps = hops(count, fan)
+    steps, digit = hops(count, fan), base(count, fan)
     for level in range(1, steps):
-        groups = sent.groupBy("at", F.floor(F.col("source") / fan**level))
-        sent = groups.applyInPandas(_carried(fan ** (steps - 1 - level)), BUNDLE)
+        groups = sent.groupBy("at", F.floor(F.col("source") / digit**level))
+        sent = groups.applyInPandas(_carried(digit ** (steps - 1 - level)), BUNDLE)
     return sent
 
 

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.common import BUNDLE, block_count, bundled, dealt, delivered, exact_ids, let_go, opened, packed, unpacked
+from recordlake.llm.common import BUNDLE, WIDE, block_count, bundled, dealt, delivered, exact_ids, let_go, opened, packed, unpacked
 
 GRAM_BITS = 56
 END = b""  # no word is empty
@@ -106,7 +106,7 @@ def grams(texts: list[str], order: int = 2) -> Grams:
     return Grams(ends, keys, at)
 
 
-def _question(parts: int, order: int):
+def _question(parts: int, order: int, fan: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(unpacked(pdf))
         g = grams([t for _, _, t in rows], order)
@@ -116,7 +116,7 @@ def _question(parts: int, order: int):
             counts = np.bincount(at[at >= 0], weights=trained[at >= 0], minlength=len(keys)).astype(np.uint64)
             for p, here in dealt(keys, parts):
                 messages[p][n] = (squeeze(gaps(keys[here])), squeeze(counts[here]))
-        return bundled(messages.items(), int(pdf["block"].iloc[0]), parts)
+        return bundled(messages.items(), int(pdf["block"].iloc[0]), parts, fan)
 
     return run
 
@@ -136,7 +136,7 @@ def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"tokens": [int(sums.sum())], "different": [int((sums > 0).sum())], "once": [int((sums == 1).sum())]})
 
 
-def _answer(blocks: int, order: int):
+def _answer(blocks: int, order: int, fan: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         messages = opened(pdf)
         out: dict[int, list] = defaultdict(lambda: [None] * order)
@@ -146,7 +146,7 @@ def _answer(blocks: int, order: int):
                 sums, place, sizes = _sums([m for _, m in asked])
                 for (block, _), mine in zip(asked, np.split(place, np.cumsum(sizes)[:-1]), strict=True):
                     out[block][n] = squeeze(sums[mine])
-        made = bundled(out.items(), int(pdf["at"].iloc[0]), blocks)
+        made = bundled(out.items(), int(pdf["at"].iloc[0]), blocks, fan)
         del out, messages
         let_go()
         return made
@@ -229,17 +229,17 @@ def _scored(parts: int, order: int, k: float):
     return run
 
 
-def score_texts(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text: str = "text", order: int = 2, k: float = 4.0, block_bytes: int = 6_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text: str = "text", order: int = 2, k: float = 4.0, block_bytes: int = 6_000_000, fan: int = WIDE) -> DataFrame:
     """Score every text with the model of the rows where ``held_out`` is not true; ``order``: the longest n-gram."""
     if order < 1:
         raise ValueError("order must be 1 or more")
     blocks = block_count(docs, text, block_bytes)
     d = docs.select(F.col(id_col).alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = packed(d, blocks, "doc", "held", "body")
-    asked = delivered(rows.groupBy("block").applyInPandas(_question(blocks, order), BUNDLE), blocks)
+    asked = delivered(rows.groupBy("block").applyInPandas(_question(blocks, order, fan), BUNDLE), blocks, fan)
     totals = asked.groupBy("at").applyInPandas(_totals, "tokens long, different long, once long")
     sums = totals.agg(*(F.sum(c).alias(c) for c in totals.columns))
-    answers = delivered(asked.groupBy("at").applyInPandas(_answer(blocks, order), BUNDLE), blocks)
+    answers = delivered(asked.groupBy("at").applyInPandas(_answer(blocks, order, fan), BUNDLE), blocks, fan)
     for c in totals.columns:
         answers = answers.withColumn(c, sums.select(c).scalar())
     out = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

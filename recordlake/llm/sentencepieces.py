@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.common import BUNDLE, block_count, bundled, delivered, exact_ids, id_columns, known_ids, let_go, opened, parallelism, uncollected
+from recordlake.llm.common import BUNDLE, WIDE, block_count, bundled, delivered, exact_ids, id_columns, known_ids, let_go, opened, parallelism, uncollected
 from recordlake.llm.lm import expand, squeeze
 
 SPACE = "▁"
@@ -144,7 +144,7 @@ def _part(unit: str, parts: int) -> int:
     return zlib.crc32(unit.encode()) % parts
 
 
-def _block(pieces: Pieces, rows: list[tuple[int | None, str]], own: int, seq: int, parts: int) -> pd.DataFrame:
+def _block(pieces: Pieces, rows: list[tuple[int | None, str]], own: int, seq: int, parts: int, fan: int) -> pd.DataFrame:
     """What a block asks the parts, and its note to itself: its texts as numbers of words, its words as numbers of units."""
     numbers: dict[str, int] = defaultdict(count().__next__)
     texts = []
@@ -177,11 +177,11 @@ def _block(pieces: Pieces, rows: list[tuple[int | None, str]], own: int, seq: in
             of_words += [place[u] for u in units]
     arrays = [[len(t) for t in texts], np.concatenate(texts), sizes, of_words]
     note = pickle.dumps((seq, order, [i for i, _ in rows], strange, [squeeze(np.array(x, np.uint64)) for x in arrays]))
-    sent = bundled([(p, (seq, z.compress("\0".join(u.replace("\0", "\1\1") for u in us).encode()))) for p, us in asked.items()], own, parts)
+    sent = bundled([(p, (seq, z.compress("\0".join(u.replace("\0", "\1\1") for u in us).encode()))) for p, us in asked.items()], own, parts, fan)
     return pd.concat([pd.DataFrame({"at": [-1 - own], "source": own, "data": [note]}), sent])
 
 
-def _read(path: str, parts: int, block_bytes: int):
+def _read(path: str, parts: int, block_bytes: int, fan: int):
     """Blocks of the rows as they are read; a block is known by its partition and its place there."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,12 +192,12 @@ def _read(path: str, parts: int, block_bytes: int):
                 size += len(row[1])
                 if size >= block_bytes:
                     with uncollected():
-                        made = _block(pieces, rows, own, seq, parts)
+                        made = _block(pieces, rows, own, seq, parts, fan)
                     yield made
                     seq, size, rows = seq + 1, 0, []
         if rows:
             with uncollected():
-                made = _block(pieces, rows, own, seq, parts)
+                made = _block(pieces, rows, own, seq, parts, fan)
             yield made
         del rows
         let_go()
@@ -277,10 +277,10 @@ def best_path(n: Column, edges: Column, scores: Column, single: Column) -> Colum
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), zero, step), -1)["borders"]
 
 
-def _answer(path: str, blocks: int):
+def _answer(path: str, blocks: int, fan: int):
     def run(asked: pd.DataFrame, encoded: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or asked["at"].iloc[0] < 0:
-            return bundled([], 0, blocks)
+            return bundled([], 0, blocks, fan)
         with uncollected():
             pieces, part = pieces_of(path), int(asked["at"].iloc[0])
             questions = [(own, seq, _list(data)) for own, (seq, data) in opened(asked)]
@@ -312,7 +312,7 @@ def _answer(path: str, blocks: int):
                 planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()
                 strange = [k for k, u in enumerate(us) if not same[u]]
                 answers.append((own, (seq, z.compress(pickle.dumps((sizes, planes, strange))))))
-        return bundled(answers, part, blocks)
+        return bundled(answers, part, blocks, fan)
 
     return run
 
@@ -362,7 +362,7 @@ def _texts(seq: int, order: list[int], ids: list[int | None], strange: list[int]
         yield (i, len(data) // 4, zlib.crc32(data), not bad or bad.isdisjoint(mine), *([np.frombuffer(data, "<u4").astype(np.int32)] if give_ids else []))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", give_ids: bool = True, block_bytes: int = 8_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", give_ids: bool = True, block_bytes: int = 8_000_000, fan: int = WIDE) -> DataFrame:
     """Ids of each whole text: id, ``n_pieces``, ``ids_crc32`` (of unsigned 32-bit ids), ``decoded_equal`` and, if asked for, ``ids``."""
     spark = docs.sparkSession
     blocks = block_count(docs, text, block_bytes)
@@ -371,13 +371,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     table = spark.createDataFrame([(p, i) for i, p in enumerate(best_first)], "piece string, rank long")
     rows = docs.select(*id_columns(id_col), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # one exchange for questions and notes; answers go back to where the note is
-    asked = delivered(rows.mapInPandas(_read(path, blocks, block_bytes), BUNDLE), blocks)
+    asked = delivered(rows.mapInPandas(_read(path, blocks, block_bytes, fan), BUNDLE), blocks, fan)
     units = asked.groupBy("at").applyInPandas(_different, "uid long, unit string")
     # dealt before their substrings are exploded: the edges are not shuffled
     edges = lattice(units.repartition(max(parallelism(spark), 2 * blocks), "uid"), table, pieces.longest)
     merged = edges.select("uid", best_merges(F.col("uid").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int"), F.col("edges")).alias("borders"))
     merged = merged.withColumn("part", F.shiftright("uid", PLACE_BITS + LENGTH_BITS))
-    answers = delivered(asked.groupBy("at").cogroup(merged.groupBy("part")).applyInPandas(_answer(path, blocks), BUNDLE), blocks)
+    answers = delivered(asked.groupBy("at").cogroup(merged.groupBy("part")).applyInPandas(_answer(path, blocks, fan), BUNDLE), blocks, fan)
     kind = "id long, n_pieces long, ids_crc32 long, decoded_equal boolean" + (", ids array<int>" if give_ids else "")
     answers = answers.withColumn("at", -1 - F.col("at"))
     out = asked.groupBy("at").cogroup(answers.groupBy("at")).applyInPandas(_encoded(give_ids), kind)

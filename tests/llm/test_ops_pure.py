@@ -261,6 +261,17 @@ def test_rows_of_an_exchange_grow_in_proportion():
     assert all(got[p] == [(b, (b, p)) for b in range(60) if b % 7 == p % 7] for p in range(60))
 
 
+def test_no_carrier_gets_most_messages():
+    """A little over ``fan`` receivers: with digits to the base ``fan`` one carrier got all messages among the first ``fan``."""
+    for blocks, fan in ((9, 8), (70, 64), (300, 256)):
+        width, digit = common.base(blocks, fan) ** (common.hops(blocks, fan) - 1), common.base(blocks, fan)
+        assert common.hops(blocks, fan) == 2 and digit**2 >= blocks > (digit - 1) ** 2
+        sent = pd.concat([common.bundled([(p, (b, p)) for p in range(blocks)], b, blocks, fan) for b in range(blocks)])
+        carried = [sum(len(pickle.loads(x)) for x in g["data"]) for _, g in sent.groupby(["at", sent["source"] // width])]
+        assert sum(carried) == blocks**2 and max(carried) <= digit**2
+        assert len(sent) <= digit * blocks
+
+
 def test_keys_are_dealt_to_parts():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 500).astype(np.uint64))
     found = {p: keys[at] for p, at in common.dealt(keys, 7)}
