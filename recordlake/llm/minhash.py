@@ -15,10 +15,11 @@ bucket all members are compared with the smallest one, exactly, by their shingle
 still holds in different components is compared too: in a bucket of at most ``block`` members the pairs
 across components (each pair once for all its buckets); in a larger one its members outside its largest
 component against all its members, in chunks of ``4 * block``, as long as those outside fill at most ``chunks`` of them; so that
-costs its size times a bound. A bucket with more outside is divided by one further band after the other into buckets of the
-members that agree there too: a similar pair agrees in 13 bands on average, in fewer than two with probability 1e-6, in
-fewer than four with 9e-5. What is large even then is compared in chunks. So a bucket of copies costs its size, and a
-bucket of unlike texts is not compared pair by pair.
+costs its size times a bound. The members of buckets with more outside are divided by shingles, exactly: in one order of all
+their shingles, rarest first, each has a prefix, without which the rest weighs less than the threshold's share of it. Two texts
+that share no shingle of their prefixes share less than that and are not similar. So those who share one are compared, as
+in buckets, large groups in chunks without a bound. A bucket of copies costs its size, a bucket of unlike texts is not
+compared pair by pair unless rare shingles are common to them too, and no similar pair of a bucket is lost.
 
 Defined cases: null text counts as empty; texts without words are equal to each other; a text of one to
 four words is one shingle; rows with a null id get a null class and are kept; rows with equal ids are one
@@ -34,14 +35,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlake.llm.common import id_columns, let_go, scratch, written
 from recordlake.llm.components import components
 
-#: further bands that divide a large bucket
-DEPTH = 3
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -152,6 +151,25 @@ def _shingle_rows(size: int, weighted: bool):
     return run
 
 
+def _shingles_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each shingle of each set."""
+    for pdf in it:
+        g = np.frombuffer(b"".join(pdf["s"]), np.int64)
+        weights = np.frombuffer(b"".join(w or np.ones(len(s) // 8, np.float32).tobytes() for s, w in zip(pdf["s"], pdf["w"], strict=True)), np.float32)
+        yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), [len(s) // 8 for s in pdf["s"]]), "g": g, "weight": weights.astype(float)})
+    let_go()
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """``id, g``: the shingles of each set that come first, rarest first, until the rest weighs less than ``threshold`` of it."""
+    every = written(sets.mapInPandas(_shingles_of, "id long, g long, weight double"), "every")
+    placed = every.join(every.groupBy("g").agg(F.count(F.lit(1)).alias("often")), "g")
+    # a share so little too small that rounding loses no shingle
+    onward = Window.partitionBy("id").orderBy(F.desc("often"), F.desc("g")).rowsBetween(Window.unboundedPreceding, 0)
+    heavy = F.sum("weight").over(onward) >= threshold * (1 - 1e-9) * F.sum("weight").over(Window.partitionBy("id"))
+    return placed.withColumn("first", heavy).filter("first").select("id", "g")
+
+
 def jaccard(a: bytes, aw: bytes, b: bytes, bw: bytes) -> float:
     """Weighted Jaccard similarity of two sorted shingle sets; empty weights stand for ones."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -235,21 +253,20 @@ def _components(d: DataFrame, known: DataFrame, threshold: float, size: int, wei
     parts = components(links)
 
     placed = members.select("band", "h", "id").join(parts, F.col("id") == F.col("node"), "left")
-    now = placed.select(F.xxhash64("band", "h").alias("key"), F.col("band").alias("own"), F.lit(-1).alias("last"), "id", F.coalesce("component", "id").alias("component"))
+    now = placed.select(F.xxhash64("band", "h").alias("key"), "id", F.coalesce("component", "id").alias("component"))
     few, blocks = [], []
-    for depth in range(DEPTH + 1):
+    for divided in (False, True):
         open_ = written(_open(written(now, "placed"), block), "open")
         few.append(open_.filter(F.col("n") <= block).select("key", "id", "component"))
         many = written(_with_minors(open_.filter(F.col("n") > block)), "many")
         wide = F.col("minors") > chunks * 4 * block
-        blocks.append(many if depth == DEPTH else many.filter(~wide))
+        blocks.append(many if divided else many.filter(~wide))
         many = many.filter(wide)
-        if depth == DEPTH or many.isEmpty():
+        if divided or many.isEmpty():
             break
-        # members that agree in one more band; similar texts agree in thirteen of 32 on average
-        further = many.join(reps.select("id", "band", "h").distinct(), "id").filter((F.col("band") != F.col("own")) & (F.col("band") > F.col("last")))
-        now = further.select(F.xxhash64("key", "band", "h").alias("key"), "own", F.col("band").alias("last"), "id", "component", "minor").dropDuplicates(["key", "id"])
-        now = now.join(now.filter("minor").select("key").distinct(), "key", "left_semi").drop("minor")
+        # similar texts share a shingle of their prefixes; all wide buckets at once, so that nothing is compared for each of them
+        apart = written(many.select("id", "component").distinct(), "apart")
+        now = _prefixes(sets.join(apart, "id", "left_semi"), threshold).join(apart, "id").select(F.xxhash64("g").alias("key"), "id", "component")
 
     # a small bucket: its pairs of different components, at most ``block - 1`` a member, each pair once over all buckets
     groups = reduce(DataFrame.unionByName, few).groupBy("key").agg(F.collect_list(F.struct("id", "component")).alias("m"))

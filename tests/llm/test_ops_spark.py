@@ -216,6 +216,39 @@ def test_large_buckets_are_divided_by_further_bands(spark):
     assert got == label
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_large_buckets_lose_no_similar_pair(spark, weighted):
+    """With one band there is no further one that could divide a bucket: similar texts meet by rare shingles."""
+    common = [f"c{i}" for i in range(60)]
+    rows = [(k, " ".join([*common, *([] if k % 3 else ["again"] * 8), *(f"p{k // 2}w{i}" for i in range(20)), *(f"own{k}x{i}" for i in range(2))])) for k in range(120)]
+    sets = {i: Counter(tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)) for i, t in rows}
+    sets = sets if weighted else {i: Counter(set(s)) for i, s in sets.items()}
+    similar = lambda i, j: (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = lambda **a: {x.doc_id: x.class_id for x in minhash.near_duplicates(df, weighted=weighted, bands=1, rows=1, block=2, **a).collect()}
+    whole, divided = classes(chunks=1000), classes(chunks=1)
+    pairs = [i for i in range(0, 120, 2) if whole[i] == whole[i + 1]]
+    assert len(pairs) > 10 and all(divided[i] == divided[i + 1] for i in pairs)
+    assert all(c == i or similar(i, c) for i, c in divided.items())
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_similar_sets_share_a_shingle_of_their_prefixes(spark, threshold):
+    r = np.random.default_rng(5)
+    sets = {}
+    for i in range(120):
+        near = sets[i - 1] if i % 2 else {}
+        sets[i] = {g: near.get(g, float(r.integers(1, 4))) for g in {*list(near)[: int(r.integers(0, 30))], *r.zipf(1.3, 12).clip(0, 999).tolist()}}
+    as_bytes = lambda s: (np.array(sorted(s), np.uint64).tobytes(), np.array([s[g] for g in sorted(s)], np.float32).tobytes())
+    df = spark.createDataFrame([(i, *as_bytes(s)) for i, s in sets.items()], "id long, s binary, w binary")
+    first = defaultdict(set)
+    for x in minhash._prefixes(df, threshold).collect():
+        first[x.id].add(x.g)
+    near = [(i, j) for i in sets for j in range(i) if minhash.jaccard(*as_bytes(sets[i]), *as_bytes(sets[j])) >= threshold]
+    assert near and all(first[i] & first[j] for i, j in near)
+    assert sum(map(len, first.values())) < sum(map(len, sets.values()))
+
+
 def test_repeats(docs, none):
     got = {(r.doc_id, r.n_bytes): r for r in suffixes.remove_repeats(docs, give_text=True, block_bytes=100_000).collect()}
     assert len(got) == len(ROWS) - 1
