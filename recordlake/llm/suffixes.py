@@ -41,10 +41,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.common import BUNDLE, block_count, bundled, dealt, delivered, exact_ids, let_go, opened, packed, unpacked
+from recordlake.llm.common import BUNDLE, WIDE, block_count, bundled, dealt, delivered, exact_ids, let_go, opened, packed, unpacked
 from recordlake.llm.lm import expand, gaps, squeeze
 
 KMER, RUN, BATCH = 24, 64, 1 << 20
+#: bits of a hash that are left out: 48 stay, as keys travel; strings that share one are compared by content all the same
+SPARE = np.uint64(16)
 BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2^64
 NO_ID = np.iinfo(np.int64).max
 
@@ -73,7 +75,7 @@ class Minimizers:
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        return h
+        return h >> SPARE
 
     def _smallest(self, h: np.ndarray) -> np.ndarray:
         width, done = self.least - KMER + 1, 1
@@ -133,11 +135,11 @@ def _ids(rows: list[tuple]) -> np.ndarray:
     return np.array([NO_ID if r[0] is None else r[0] for r in rows], np.int64)
 
 
-def _question(parts: int, least: int):
+def _question(parts: int, least: int, fan: int = WIDE):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, several = _distinct([(r[3], r[0]) for r in Minimizers(least).runs(_texts(list(unpacked(pdf))))])
         sent = ((p, (squeeze(gaps(keys[at])), np.packbits(several[at]).tobytes())) for p, at in dealt(keys, parts))
-        return bundled(sent, int(pdf["block"].iloc[0]), parts)
+        return bundled(sent, int(pdf["block"].iloc[0]), parts, fan)
 
     return run
 
@@ -157,7 +159,7 @@ def _bits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def _shared(blocks: int, hot: int):
+def _shared(blocks: int, hot: int, fan: int = WIDE):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Which minimizers of each block another document has too, and which of them ``hot`` blocks have."""
         messages = opened(pdf)
@@ -168,7 +170,7 @@ def _shared(blocks: int, hot: int):
         common[place[np.concatenate(several)]] = True
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         answers = zip(np.split(common[place], cuts), np.split((many >= hot)[place], cuts), strict=True)
-        return bundled(((block, tuple(np.packbits(x).tobytes() for x in a)) for (block, _), a in zip(messages, answers, strict=True)), int(pdf["at"].iloc[0]), blocks)
+        return bundled(((block, tuple(np.packbits(x).tobytes() for x in a)) for (block, _), a in zip(messages, answers, strict=True)), int(pdf["at"].iloc[0]), blocks, fan)
 
     return run
 
@@ -197,7 +199,7 @@ def _segments(runs: list[Run], ids: np.ndarray, shared: np.ndarray, hot: np.ndar
             if n is None:
                 n = numbers[content] = len(smallest)
                 smallest.append(o)
-                key.append(xxhash.xxh3_64_intdigest(content) if w else k)
+                key.append(xxhash.xxh3_64_intdigest(content) >> int(SPARE) if w else k)
             elif o < smallest[n]:
                 smallest[n] = o
             number[i] = n
@@ -211,7 +213,7 @@ def _by_part(key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield p, at[np.argsort(key[at], kind="stable")]
 
 
-def _send(parts: int, least: int):
+def _send(parts: int, least: int, fan: int = WIDE):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         block, rows = int(docs["block"].iloc[0]), list(unpacked(docs))
         runs = list(Minimizers(least).runs(_texts(rows)))
@@ -228,7 +230,7 @@ def _send(parts: int, least: int):
             sent.append((p, (z.compress(b"".join(mine)), squeeze(np.array([len(c) for c in mine], np.uint64)), squeeze(gaps(key[at])), squeeze(smallest[at].astype(np.uint64)))))
         # the block's own note, handed through by the next step
         note = pickle.dumps((squeeze(gaps(shared)), np.packbits(hot).tobytes()))
-        made = pd.concat([pd.DataFrame({"at": [-1 - block], "source": [block], "data": [note]}), bundled(sent, block, parts)])
+        made = pd.concat([pd.DataFrame({"at": [-1 - block], "source": [block], "data": [note]}), bundled(sent, block, parts, fan)])
         del rows, runs, contents, sent
         let_go()
         return made
@@ -311,7 +313,7 @@ def _smallest_of_classes(contents: list[bytes], smallest: np.ndarray, least: int
     return best[left > least]
 
 
-def _classes(least: int, blocks: int):
+def _classes(least: int, blocks: int, fan: int = WIDE):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["at"].iloc[0] < 0:
             return pdf
@@ -343,7 +345,7 @@ def _classes(least: int, blocks: int):
             every = list(numbers)
             best[_spread(starts, windows, compared)] = _smallest_of_classes([every[i] for i in compared], np.array(smallest, np.int64)[compared], least)
         part = int(pdf["at"].iloc[0])
-        made = bundled(((block, squeeze(best[_spread(starts, windows, mine)].astype(np.uint64))) for block, mine in asked), part, blocks)
+        made = bundled(((block, squeeze(best[_spread(starts, windows, mine)].astype(np.uint64))) for block, mine in asked), part, blocks, fan)
         del numbers, asked, best
         let_go()
         return made
@@ -403,7 +405,7 @@ def _removed(parts: int, least: int, give_text: bool, carry: tuple[str, ...] = (
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 50, block_bytes: int = 6_000_000, hot: int = 256, give_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 50, block_bytes: int = 6_000_000, hot: int = 256, give_text: bool = False, carry: tuple[str, ...] = (), fan: int = WIDE) -> DataFrame:
     """One row for each document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
     With ``give_text`` also ``kept`` (bytes of characters cut in two are left out) and ``edges``, the removed
@@ -415,10 +417,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     d = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"), *(F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(carry)))
     rows = packed(d, parts, "doc", "body", *(f"c{k}" for k in range(len(carry))))
     by_block, by_receiver = rows.groupBy("block"), lambda df: df.groupBy("at")
-    asked = delivered(by_block.applyInPandas(_question(parts, least), BUNDLE), parts)
-    common = delivered(by_receiver(asked).applyInPandas(_shared(parts, hot), BUNDLE), parts)
-    sent = delivered(by_block.cogroup(by_receiver(common)).applyInPandas(_send(parts, least), BUNDLE), parts)
-    classes = delivered(by_receiver(sent).applyInPandas(_classes(least, parts), BUNDLE), parts)
+    asked = delivered(by_block.applyInPandas(_question(parts, least, fan), BUNDLE), parts, fan)
+    common = delivered(by_receiver(asked).applyInPandas(_shared(parts, hot, fan), BUNDLE), parts, fan)
+    sent = delivered(by_block.cogroup(by_receiver(common)).applyInPandas(_send(parts, least, fan), BUNDLE), parts, fan)
+    classes = delivered(by_receiver(sent).applyInPandas(_classes(least, parts, fan), BUNDLE), parts, fan)
     # a block's note and the answers to it
     classes = classes.withColumn("block", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
     kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, edges array<long>" if give_text else "") + "".join(f", `{c}` string" for c in carry)

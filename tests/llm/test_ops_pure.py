@@ -261,6 +261,14 @@ def test_rows_of_an_exchange_grow_in_proportion():
     assert all(got[p] == [(b, (b, p)) for b in range(60) if b % 7 == p % 7] for p in range(60))
 
 
+def test_keys_of_windows_travel_with_48_bits():
+    text = np.random.default_rng(2).integers(97, 123, 20_000).astype(np.uint8).tobytes()
+    keys = np.concatenate([r[3] for r in suffixes.Minimizers(50).runs([text])])
+    contents, _, key, _ = suffixes._segments(list(suffixes.Minimizers(50).runs([text])), np.array([1]), np.unique(keys), np.ones(len(np.unique(keys)), bool), 50)
+    assert len(np.unique(keys)) > 1000 and max(keys.max(), key.max()) < 1 << 48
+    assert len(set(contents)) == len(np.unique(key)) == 20_000 - 49
+
+
 def test_no_carrier_gets_most_messages():
     """A little over ``fan`` receivers: with digits to the base ``fan`` one carrier got all messages among the first ``fan``."""
     for blocks, fan in ((9, 8), (70, 64), (300, 256)):

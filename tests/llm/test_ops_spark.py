@@ -262,6 +262,18 @@ def test_repeats(docs, none):
     assert suffixes.remove_repeats(none).collect() == []
 
 
+def test_hundreds_of_blocks_take_one_shuffle(docs, none):
+    """A second shuffle writes every message once more; results are the same over several."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    ops = [lambda **a: lm.score_texts(docs, toxicity.held_out("doc_id", 1), **a), lambda **a: suffixes.remove_repeats(docs, **a), lambda **a: sentencepieces.encode(docs, path, give_ids=False, **a)]
+    assert common.block_count(docs, "text", 1000) > 256
+    for op in ops:
+        carried = lambda **a: "floor" in op(**a)._jdf.queryExecution().executedPlan().toString().lower()  # noqa: B023, E731
+        assert carried(block_bytes=1000, fan=256) and not carried(block_bytes=1000)
+        rows = lambda **a: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in op(**a).collect()), key=repr)  # noqa: B023, E731
+        assert rows(block_bytes=60_000, fan=3) == rows()
+
+
 @pytest.mark.parametrize("rule", tokencount.RULES)
 def test_token_counts(docs, none, rule):
     path = tokenizer_path("byte_bpe_50k.tiktoken")
