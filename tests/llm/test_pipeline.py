@@ -11,7 +11,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline", reason="the pipeline goes with the training-data package")
 
-from recordlake.llm import pii, toxicity  # noqa: E402
+from recordlake.llm import pii, suffixes, toxicity  # noqa: E402
 from recordlake.llm.common import tokenizer_path  # noqa: E402
 from recordlake.llm.queries import PUBLIC_KEY  # noqa: E402
 
@@ -101,3 +101,12 @@ def test_stages_take_an_empty_table(spark, tmp_path):
         assert out.count() == 0
         if name != "packing":
             assert out.columns == corpus_pipeline.COLUMNS
+
+
+def test_repeats_of_hundreds_of_blocks_take_one_shuffle(spark, monkeypatch):
+    """What the third stage writes to disk does not double from 257 blocks on."""
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in corpus()[0][:20]], "doc_id long, text string, lang string, source string, n_chars long")
+    exchanges = lambda: corpus_pipeline.cut_repeats(spark, docs, "")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    few = exchanges()
+    monkeypatch.setattr(suffixes, "block_count", lambda *_: 1700)
+    assert exchanges() == few > 0
