@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import zlib
 from collections import defaultdict
@@ -11,7 +12,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline", reason="the pipeline goes with the training-data package")
 
-from recordlake.llm import pii, suffixes, toxicity  # noqa: E402
+from recordlake.llm import minhash, pii, suffixes, toxicity  # noqa: E402
 from recordlake.llm.common import tokenizer_path  # noqa: E402
 from recordlake.llm.queries import PUBLIC_KEY  # noqa: E402
 
@@ -110,3 +111,15 @@ def test_repeats_of_hundreds_of_blocks_take_one_shuffle(spark, monkeypatch):
     few = exchanges()
     monkeypatch.setattr(suffixes, "block_count", lambda *_: 1700)
     assert exchanges() == few > 0
+
+
+def test_near_duplicates_of_large_buckets_go(spark, monkeypatch):
+    """All texts in few buckets, which no further band divides."""
+    common = [f"c{i}" for i in range(60)]
+    rows = [(k, " ".join(common + [f"p{k // 2}w{i}" for i in range(20)] + [f"own{k}x{i}" for i in range(2)])) for k in range(100)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found, near_duplicates = {}, minhash.near_duplicates
+    for chunks in (1000, 1):
+        monkeypatch.setattr(minhash, "near_duplicates", functools.partial(near_duplicates, bands=1, rows=1, block=2, chunks=chunks))
+        found[chunks] = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert len(found[1000]) < 95 and found[1] <= found[1000] and found[1] >= set(range(0, 100, 2))
