@@ -135,10 +135,16 @@ def _ids(rows: list[tuple]) -> np.ndarray:
     return np.array([NO_ID if r[0] is None else r[0] for r in rows], np.int64)
 
 
+def _in_part(keys: np.ndarray, parts: int) -> bytes:
+    """Sorted keys of one part, which has all keys of one remainder: it tells them apart by their quotients, and so the more parts
+    there are, the fewer bits a key takes."""
+    return squeeze(gaps(keys // np.uint64(parts)))
+
+
 def _question(parts: int, least: int, fan: int = WIDE):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, several = _distinct([(r[3], r[0]) for r in Minimizers(least).runs(_texts(list(unpacked(pdf))))])
-        sent = ((p, (squeeze(gaps(keys[at])), np.packbits(several[at]).tobytes())) for p, at in dealt(keys, parts))
+        sent = ((p, (_in_part(keys[at], parts), np.packbits(several[at]).tobytes())) for p, at in dealt(keys, parts))
         return bundled(sent, int(pdf["block"].iloc[0]), parts, fan)
 
     return run
@@ -227,7 +233,7 @@ def _send(parts: int, least: int, fan: int = WIDE):
         sent = []
         for p, at in _by_part(key, parts):
             mine = [contents[i] for i in at]
-            sent.append((p, (z.compress(b"".join(mine)), squeeze(np.array([len(c) for c in mine], np.uint64)), squeeze(gaps(key[at])), squeeze(smallest[at].astype(np.uint64)))))
+            sent.append((p, (z.compress(b"".join(mine)), squeeze(np.array([len(c) for c in mine], np.uint64)), _in_part(key[at], parts), squeeze(smallest[at].astype(np.uint64)))))
         # the block's own note, handed through by the next step
         note = pickle.dumps((squeeze(gaps(shared)), np.packbits(hot).tobytes()))
         made = pd.concat([pd.DataFrame({"at": [-1 - block], "source": [block], "data": [note]}), bundled(sent, block, parts, fan)])
