@@ -213,10 +213,15 @@ def _segments(runs: list[Run], ids: np.ndarray, shared: np.ndarray, hot: np.ndar
     return list(numbers), np.array(smallest, np.int64), np.array(key, np.uint64), where
 
 
-def _by_part(key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The segments of each part by key: the order in which a block sends them and gets answers."""
+def _by_part(key: np.ndarray, contents: list[bytes], parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The segments of each part by key and content: the order in which a block sends them and gets answers. The order in which they
+    appear would not do: every shuffle may give a block its rows in another one."""
+    _, place, many = np.unique(key, return_inverse=True, return_counts=True)
+    tied = sorted(np.flatnonzero(many[place] > 1).tolist(), key=contents.__getitem__)
+    rank = np.zeros(len(key), np.int64)
+    rank[tied] = np.arange(len(tied))
     for p, at in dealt(key, parts):
-        yield p, at[np.argsort(key[at], kind="stable")]
+        yield p, at[np.lexsort((rank[at], key[at]))]
 
 
 def _send(parts: int, least: int, fan: int = WIDE):
@@ -231,7 +236,7 @@ def _send(parts: int, least: int, fan: int = WIDE):
         contents, smallest, key, _ = _segments(runs, _ids(rows), shared, hot, least)
         z = zstandard.ZstdCompressor(level=1)
         sent = []
-        for p, at in _by_part(key, parts):
+        for p, at in _by_part(key, contents, parts):
             mine = [contents[i] for i in at]
             sent.append((p, (z.compress(b"".join(mine)), squeeze(np.array([len(c) for c in mine], np.uint64)), _in_part(key[at], parts), squeeze(smallest[at].astype(np.uint64)))))
         # the block's own note, handed through by the next step
@@ -369,10 +374,11 @@ def _removed(parts: int, least: int, give_text: bool, carry: tuple[str, ...] = (
         got = dict(opened(answers[~note]))
         contents, _, key, where = _segments(list(Minimizers(least).runs(_texts(rows))), ids, shared, _bits(bits, len(shared)), least)
         windows = np.array([len(c) for c in contents], np.int64) - least + 1
+        asked = list(_by_part(key, contents, parts))
         del contents
         starts = np.cumsum(windows) - windows
         best = np.empty(int(windows.sum()), np.int64)
-        for p, at in _by_part(key, parts):
+        for p, at in asked:
             best[_spread(starts, windows, at)] = expand(got[p]).astype(np.int64)
         # windows to remove, as changes of the number of covering windows
         hits: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -404,7 +410,7 @@ def _removed(parts: int, least: int, give_text: bool, carry: tuple[str, ...] = (
         columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "edges"] if give_text else []), *carry]
         made = pd.DataFrame(out, columns=columns)
         made.insert(0, "id", exact_ids([r[0] for r in rows]))
-        del rows, whole, where, best, hits, out
+        del rows, whole, where, asked, best, hits, out
         let_go()
         return made
 
