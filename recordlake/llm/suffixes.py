@@ -66,9 +66,9 @@ class Minimizers:
 
     def _hashes(self, data: np.ndarray) -> np.ndarray:
         n = len(data)
-        if len(self.up) <= n:
-            self.up = _powers(n + 1, BASE)
-            self.down = _powers(n + 1, pow(BASE, -1, 1 << 64))
+        if len(self.up) <= n:  # a little more, for later batches
+            self.up = _powers(n + n // 8 + 1, BASE)
+            self.down = _powers(n + n // 8 + 1, pow(BASE, -1, 1 << 64))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
         h = (sums[KMER:] - sums[:-KMER]) * self.down[: n - KMER + 1]
@@ -102,25 +102,24 @@ class Minimizers:
 
     def _batch(self, pieces: list[tuple[int, int, bytes]]):
         joined = b"".join(p[2] for p in pieces)
-        smallest = self._smallest(self._hashes(np.frombuffer(joined, np.uint8)))
+        m = self._smallest(self._hashes(np.frombuffer(joined, np.uint8)))
         sizes = np.array([len(p[2]) for p in pieces])
-        windows = sizes - self.least + 1
         starts = np.cumsum(sizes) - sizes
-        # windows that lie in one piece
-        at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-        owner = np.repeat(np.arange(len(pieces)), windows)
-        m = smallest[at]
+        ends = starts + sizes - self.least + 1  # windows from there to the next start lie in two pieces
         new = np.ones(len(m), bool)
-        new[1:] = (m[1:] != m[:-1]) | (owner[1:] != owner[:-1])
+        new[1:] = m[1:] != m[:-1]
+        new[starts] = new[ends[:-1]] = True
         first = np.flatnonzero(new)
         length = np.diff(first, append=len(m))
+        who = np.searchsorted(starts, first, "right") - 1
+        inside = first < ends[who]
+        first, length, who = first[inside], length[inside], who[inside]
         if length.max() > RUN:  # periodic texts
             cuts = -(-length // RUN)
-            inside = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-            first, length = np.repeat(first, cuts) + inside * RUN, np.minimum(RUN, np.repeat(length, cuts) - inside * RUN)
-        who = owner[first]
-        offset = np.array([p[1] for p in pieces])[who] + at[first] - starts[who]
-        return np.array([p[0] for p in pieces])[who], offset, length, m[first], at[first], joined
+            before = RUN * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+            first, length, who = np.repeat(first, cuts) + before, np.minimum(RUN, np.repeat(length, cuts) - before), np.repeat(who, cuts)
+        offset = np.array([p[1] for p in pieces])[who] + first - starts[who]
+        return np.array([p[0] for p in pieces])[who], offset, length, m[first], first, joined
 
 
 Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]
@@ -252,18 +251,20 @@ def _send(parts: int, least: int, fan: int = WIDE):
 def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The suffix array of segments that each end with 0, ties by place; ``left``: bytes up to and with that 0."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    keys = np.zeros(n, np.uint64)
-    for k in range(8):
-        keys |= np.where(left > k, padded[k : n + k], 0).astype(np.uint64) << np.uint64(8 * (7 - k))
+    keys = text.astype(np.uint64)
+    for k in (1, 2, 4):
+        keys = (keys << np.uint64(8 * k)) | np.where(left > k, np.append(keys, np.zeros(k, np.uint64))[k:], np.uint64(0))
     length, most = 8, int(left.max())
     while True:
-        order = np.argsort(keys, kind="stable")
-        if length >= most:
-            return order
+        # not a stable sort, which takes three times as long: equal suffixes are put in order at the end
+        order = np.argsort(keys)
         sorted_ = keys[order]
+        new = np.zeros(n, np.uint64)
+        new[1:] = sorted_[1:] != sorted_[:-1]
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]])).astype(np.uint64)
+        rank[order] = np.cumsum(new)
+        if length >= most:
+            return np.argsort((rank << np.uint64(32)) | np.arange(n, dtype=np.uint64))
         after = np.zeros(n, np.uint64)
         far = np.flatnonzero(left > length)
         after[far] = rank[far + length] + np.uint64(1)
@@ -287,18 +288,19 @@ def prefix_classes(text: np.ndarray, left: np.ndarray, least: int) -> tuple[np.n
     source = np.argsort(transform, kind="stable").astype(np.int32)
     border = np.ones(n, bool)
     border[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
-    active = np.flatnonzero(~border)
+    active = np.flatnonzero(~border).astype(np.int32)
     low, high = source[active - 1], source[active]
+    found = 0
     for _ in range(1, least):
         passed = np.cumsum(border, dtype=np.int32)
         now = passed[high] != passed[low]
-        if not now.any():
-            if not len(active):
-                break
-            continue
+        before, found = found, np.count_nonzero(now)
+        if found == before:
+            break
         border[active[now]] = True
-        keep = ~now
-        active, low, high = active[keep], low[keep], high[keep]
+        if 8 * found > len(active):
+            keep, found = ~now, 0
+            active, low, high = active[keep], low[keep], high[keep]
     return order, border
 
 
